@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eavesgraph.llm import density
+from eavesgraph.llm import density, neighbours
 from eavesgraph.session import table
 
 
@@ -22,7 +22,26 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return density.describe_groups(*_groups(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups)}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    base = neighbours.vectors(table(spark, d, "fusion_inputs"))
+    near = neighbours.nearest(base, neighbours.probe_vectors(base, table(spark, d, "fusion_probes")))
+    return near.select(F.least("vec_id", "neighbour").alias("vec_a"), F.greatest("vec_id", "neighbour").alias("vec_b")).distinct()
+
+
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id is divisible by 20 against all rows."""
+    base = neighbours.vectors(table(spark, d, "fusion_inputs"))
+    return neighbours.nearest(base, base.where("vec_id % 20 = 0")).select("vec_id", "rank", "neighbour", F.sqrt("d2").alias("distance"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_neighbours)}
+
+_NEAREST = """WITH v AS (SELECT DISTINCT vec_id, run_id, list_concat(xyz, list_concat(fpfh, mrgd)) AS a FROM fusion_inputs
+  WHERE len(xyz) = 3 AND len(fpfh) = 5 AND len(mrgd) = 3 AND xyz IS NOT NULL AND fpfh IS NOT NULL AND mrgd IS NOT NULL
+  AND len(list_filter(list_concat(xyz, list_concat(fpfh, mrgd)), lambda x: x IS NULL OR isnan(x))) = 0),
+d AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_sum(list_transform(list_zip(a.a, b.a), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 10) AS d2
+  FROM v a JOIN v b ON a.run_id = b.run_id AND a.vec_id <> b.vec_id WHERE {which}),
+n AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, neighbour) AS rank FROM d QUALIFY rank <= 10) """
 
 ORACLE = {
     "p2_found": """WITH RECURSIVE sel AS (SELECT DISTINCT frame_id, point_id, dx, dy, dz FROM pred_points
@@ -33,4 +52,6 @@ near AS (SELECT a.f, a.p AS a, b.p AS b FROM q a JOIN q b ON a.f = b.f AND abs(a
 reach AS (SELECT f, a, b FROM near UNION SELECT r.f, r.a, n.b FROM reach r JOIN near n ON r.f = n.f AND r.b = n.a),
 g AS (SELECT f, a AS p, min(b) AS first, count(DISTINCT b) AS n FROM reach GROUP BY 1, 2)
 SELECT f AS frame_id, first AS first_point_id, p AS point_id FROM g WHERE n >= 5 AND p > first""",
+    "p4_found": _NEAREST.format(which="a.vec_id IN (SELECT vec_id FROM fusion_probes)") + "SELECT DISTINCT least(vec_id, neighbour) AS vec_a, greatest(vec_id, neighbour) AS vec_b FROM n",
+    "p4_neighbours": _NEAREST.format(which="a.vec_id % 20 = 0") + "SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbour, sqrt(d2) AS distance FROM n",
 }

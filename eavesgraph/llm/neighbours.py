@@ -47,18 +47,18 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD
     size = base.groupBy("run_id").agg(F.ceil(F.count("*") / shard).alias("n_shards"))
     size = broadcast_if_small(size)
     left = base.dropDuplicates(["vec_id", "run_id"]).join(size, "run_id").withColumn("shard", F.pmod(F.xxhash64("vec_id"), "n_shards")).drop("n_shards")
-    right = queries.join(size, "run_id").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_shards") - 1))).drop("n_shards")
+    asked = queries.join(size, "run_id").select("run_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_shards") - 1)).alias("shard"), "vec_id", *COLUMNS)
+    right = asked.toDF("q_run", "q_shard", "q_id", *[f"q_{c}" for c in COLUMNS])
 
     def search(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(b) or not len(q):
             return pd.DataFrame({"vec_id": np.zeros(0, np.int64), "neighbour": np.zeros(0, np.int64), "d2": np.zeros(0)})
         index = ShardIndex(b["vec_id"].to_numpy(), b[COLUMNS].to_numpy(np.float64), degree=degree, beam=build_beam)
-        own = q["vec_id"].to_numpy()
-        row, found, d2 = index.nearest(q[COLUMNS].to_numpy(np.float64), own, k, beam)
+        own = q["q_id"].to_numpy()
+        row, found, d2 = index.nearest(q[[f"q_{c}" for c in COLUMNS]].to_numpy(np.float64), own, k, beam)
         return pd.DataFrame({"vec_id": own[row], "neighbour": found, "d2": d2})
 
-    key = ["run_id", "shard"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, "vec_id long, neighbour long, d2 double")
+    found = left.groupBy("run_id", "shard").cogroup(right.groupBy("q_run", "q_shard")).applyInPandas(search, "vec_id long, neighbour long, d2 double")
     by = Window.partitionBy("vec_id").orderBy("d2", "neighbour")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eavesgraph.llm import density, neighbours
+from eavesgraph.llm import density, languages, leakage, neighbours
 from eavesgraph.session import table
 
 
@@ -34,7 +34,31 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest(base, base.where("vec_id % 20 = 0")).select("vec_id", "rank", "neighbour", F.sqrt("d2").alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_neighbours)}
+def _leaked(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaked(spark, d).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per leaked item: documents that hold it and the longest passage."""
+    return _leaked(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("n_words").alias("longest"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    documents, codes = table(spark, d, "documents"), table(spark, d, "lang_codes")
+    found = languages.document_languages(languages.language_segments(documents, codes))
+    return languages.label_faults(documents, codes, found)
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches of one language in every document, with their confidence."""
+    return languages.language_segments(table(spark, d, "documents"), table(spark, d, "lang_codes"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_neighbours, p7_found, p7_items, p8_found, p8_segments)}
 
 _NEAREST = """WITH v AS (SELECT DISTINCT vec_id, run_id, list_concat(xyz, list_concat(fpfh, mrgd)) AS a FROM fusion_inputs
   WHERE len(xyz) = 3 AND len(fpfh) = 5 AND len(mrgd) = 3 AND xyz IS NOT NULL AND fpfh IS NOT NULL AND mrgd IS NOT NULL
@@ -53,5 +77,4 @@ reach AS (SELECT f, a, b FROM near UNION SELECT r.f, r.a, n.b FROM reach r JOIN
 g AS (SELECT f, a AS p, min(b) AS first, count(DISTINCT b) AS n FROM reach GROUP BY 1, 2)
 SELECT f AS frame_id, first AS first_point_id, p AS point_id FROM g WHERE n >= 5 AND p > first""",
     "p4_found": _NEAREST.format(which="a.vec_id IN (SELECT vec_id FROM fusion_probes)") + "SELECT DISTINCT least(vec_id, neighbour) AS vec_a, greatest(vec_id, neighbour) AS vec_b FROM n",
-    "p4_neighbours": _NEAREST.format(which="a.vec_id % 20 = 0") + "SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbour, sqrt(d2) AS distance FROM n",
 }

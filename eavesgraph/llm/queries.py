@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eavesgraph.llm import density, languages, leakage, neighbours
+from eavesgraph.llm import density, languages, leakage, neighbours, packing
 from eavesgraph.session import table
 
 
@@ -34,6 +34,22 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest(base, base.where("vec_id % 20 = 0")).select("vec_id", "rank", "neighbour", F.sqrt("d2").alias("distance"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that the packing had to cut."""
+    return packing.pack(table(spark, d, "documents")).where("n_pieces > 1").select("doc_id").distinct()
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(packing.pack(table(spark, d, "documents")))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used, the fewest that could do, and the share of unused space."""
+    used = packing.containers(packing.pack(table(spark, d, "documents")))
+    cap = packing.CAPACITY
+    return used.agg(F.count("*").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"), F.ceil(F.sum("n_tokens") / cap).alias("least"), F.round(F.sum("unused") / (F.count("*") * cap), 6).alias("unused_share"))
+
+
 def _leaked(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -58,7 +74,7 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
     return languages.language_segments(table(spark, d, "documents"), table(spark, d, "lang_codes"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_neighbours, p7_found, p7_items, p8_found, p8_segments)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_neighbours, p6_found, p6_containers, p6_report, p7_found, p7_items, p8_found, p8_segments)}
 
 _NEAREST = """WITH v AS (SELECT DISTINCT vec_id, run_id, list_concat(xyz, list_concat(fpfh, mrgd)) AS a FROM fusion_inputs
   WHERE len(xyz) = 3 AND len(fpfh) = 5 AND len(mrgd) = 3 AND xyz IS NOT NULL AND fpfh IS NOT NULL AND mrgd IS NOT NULL
@@ -77,4 +93,5 @@ reach AS (SELECT f, a, b FROM near UNION SELECT r.f, r.a, n.b FROM reach r JOIN
 g AS (SELECT f, a AS p, min(b) AS first, count(DISTINCT b) AS n FROM reach GROUP BY 1, 2)
 SELECT f AS frame_id, first AS first_point_id, p AS point_id FROM g WHERE n >= 5 AND p > first""",
     "p4_found": _NEAREST.format(which="a.vec_id IN (SELECT vec_id FROM fusion_probes)") + "SELECT DISTINCT least(vec_id, neighbour) AS vec_a, greatest(vec_id, neighbour) AS vec_b FROM n",
+    "p6_found": "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) > 8192",
 }

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eavesgraph.operators.components import minimum_labels
 from eavesgraph.session import drop_path, written
 
 CELL = ["frame_id", "gx", "gy", "gz"]
@@ -18,22 +19,6 @@ CELL = ["frame_id", "gx", "gy", "gz"]
 BLOCK = 8
 
 
-def selected_places(pred: DataFrame, points: DataFrame, threshold: float = 0.5, padding: float = -10.0) -> DataFrame:
-    """(frame_id, point_id, px, py, pz): predicted points above the score, moved by their offset.
-
-    Rows with a null or NaN score, with padding offsets, or of points that do
-    not exist are left out, as are places that are null or not finite. Repeated
-    rows count once; of rows of a point that differ the smallest place counts.
-    """
-    real = ~((F.col("dx") == padding) & (F.col("dy") == padding) & (F.col("dz") == padding))
-    sel = pred.where((F.col("score") > threshold) & ~F.isnan("score") & real).select("frame_id", "point_id", "dx", "dy", "dz")
-    moved = points.select("frame_id", "point_id", "x", "y", "z").join(sel.hint("shuffle_hash"), ["frame_id", "point_id"])
-    place = F.struct(*[(F.col(c) + F.col(f"d{c}")).alias(f"p{c}") for c in "xyz"])
-    out = moved.groupBy("frame_id", "point_id").agg(F.min(place).alias("p")).select("frame_id", "point_id", "p.*")
-    sound = [F.abs(F.col(f"p{c}")) < 1e12 for c in "xyz"]
-    return out.where(sound[0] & sound[1] & sound[2])
-
-
 def _square(terms: list[Column]) -> Column:
     return sum((t * t for t in terms[1:]), terms[0] * terms[0])
 
@@ -67,47 +52,6 @@ def _links(placed: DataFrame, cells: DataFrame, eps: float, side: float) -> tupl
     return near.where("sure").select("frame_id", "u", "v").unionByName(two.select("frame_id", "u", "v").distinct()), path
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One half pass: hand every neighbour the smallest label that a node sees.
-
-    edges: (frame_id, u, v) with v < u, each once. The large half looks at all
-    neighbours and moves the larger ones, the small half moves the smaller.
-    """
-    if large:
-        both = edges.unionByName(edges.select("frame_id", F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("frame_id", "u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        up = both.where("v > u").join(least, ["frame_id", "u"])
-        return up.select("frame_id", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    least = edges.groupBy("frame_id", "u").agg(F.min("v").alias("m"))
-    down = edges.join(least, ["frame_id", "u"]).where("v <> m").select("frame_id", F.col("v").alias("u"), F.col("m").alias("v"))
-    return down.unionByName(least.select("frame_id", "u", F.col("m").alias("v"))).distinct()
-
-
-def minimum_labels(links: DataFrame) -> DataFrame:
-    """(frame_id, u, label): the smallest node of its component for every linked node but itself.
-
-    links: (frame_id, u, v), any order of the ends. Minimum labels are passed
-    on until every node hangs directly on the smallest of its component; every
-    half pass is written to the shared folder. Loops (u = v) and repeated links
-    are harmless; nulls are no links.
-    """
-    edges = links.where("u <> v").select("frame_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges, path = written(edges, "labels")
-    while True:
-        for large in (True, False):
-            old, (edges, path) = path, written(_star(edges, large), "labels")
-            drop_path(edges.sparkSession, old)
-        if _flat(edges):
-            return edges.withColumnRenamed("v", "label")
-
-
-def _flat(edges: DataFrame) -> bool:
-    """True if every node has one label and no label has one itself."""
-    ends = edges.select("frame_id", F.col("u").alias("x"), F.lit(1).alias("own"), F.lit(0).alias("root")).unionByName(edges.select("frame_id", F.col("v").alias("x"), F.lit(0).alias("own"), F.lit(1).alias("root")))
-    seen = ends.groupBy("frame_id", "x").agg(F.sum("own").alias("own"), F.max("root").alias("root"))
-    return not seen.where("own > 1 or (own > 0 and root > 0)").limit(1).count()
-
-
 def density_groups(places: DataFrame, eps: float = 0.10, least: int = 5) -> tuple[DataFrame, DataFrame]:
     """(members, groups) of points linked by chains of steps of at most eps within a frame.
 

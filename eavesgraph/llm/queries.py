@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eavesgraph.llm import density, languages, leakage, neighbours, packing
+from eavesgraph.operators.clouds import selected_places
 from eavesgraph.session import table
 
 
 def _groups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return density.density_groups(density.selected_places(table(spark, d, "pred_points"), table(spark, d, "points")))
+    return density.density_groups(selected_places(table(spark, d, "pred_points"), table(spark, d, "points")))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -60,6 +60,7 @@ def merge_small(points: DataFrame, labels: DataFrame, min_points: int, key: str
     Frames without a large cluster stay as they are. Ties of distance go to the
     lower id. Clusters are renumbered from 0 in their old order.
     """
+    labels, _ = written(labels, "merging")
     sizes = labels.groupBy("frame_id", "cluster_id").agg((F.count("*") >= min_points).alias("large"))
     both = labels.join(sizes, ["frame_id", "cluster_id"]).join(points.select("frame_id", key, *XYZ), ["frame_id", key])
     any_large = sizes.where("large").select("frame_id").distinct()

@@ -63,11 +63,11 @@ def match_corners(predicted: DataFrame, truth: DataFrame, guard: float = 0.0) ->
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"frame_id": [], "corner_id": [], "vertex_id": [], "dist": []}).astype({"corner_id": int, "vertex_id": int, "dist": float})
+            return pd.DataFrame({"frame_id": np.zeros(0, object), "corner_id": np.zeros(0, np.int32), "vertex_id": np.zeros(0, np.int32), "dist": np.zeros(0)})
         a, b = a.sort_values("p_id", kind="stable"), b.sort_values("t_id", kind="stable")
         d = np.sqrt(((a[["px", "py", "pz"]].to_numpy()[:, None] - b[["tx", "ty", "tz"]].to_numpy()[None]) ** 2).sum(-1) + guard)
         r, c = assign(d)
-        return pd.DataFrame({"frame_id": a["frame_id"].iloc[0], "corner_id": a["p_id"].to_numpy()[r], "vertex_id": b["t_id"].to_numpy()[c], "dist": d[r, c]})
+        return pd.DataFrame({"frame_id": np.full(len(r), a["frame_id"].iloc[0], object), "corner_id": a["p_id"].to_numpy()[r], "vertex_id": b["t_id"].to_numpy()[c], "dist": d[r, c]})
 
     return p.groupBy("frame_id").cogroup(t.groupBy("t_frame")).applyInPandas(run, "frame_id string, corner_id int, vertex_id int, dist double")
 

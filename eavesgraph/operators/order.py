@@ -48,7 +48,7 @@ def patches(serial: DataFrame, size: int) -> DataFrame:
     last = F.floor((F.col("n") - 1) / size)
     missing = (last + 1) * size - F.col("n")
     tail = own.where((F.col("n") > size) & (F.col("patch") == last - 1) & (F.col("slot") >= size - missing))
-    fill = tail.withColumn("slot", F.col("slot") - (size - missing) + F.col("n") - last * size).withColumn("patch", last)
+    fill = tail.withColumn("patch", last)
     cols = ["frame_id", "point_id", "patch", "slot"]
     return own.select(*cols, F.lit(False).alias("filler")).unionByName(fill.select(*cols, F.lit(True).alias("filler")))
 

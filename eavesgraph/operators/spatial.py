@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eavesgraph.session import written
+
 XYZ = ("x", "y", "z")
 
 
@@ -73,7 +75,7 @@ def knn(queries: DataFrame, targets: DataFrame, k: int, q_key: str = "vertex_id"
     The density of a frame gives a radius that should hold about 3k targets. A
     query that has k targets within it is settled, since none outside can be
     nearer; the others look again in wider radii, and the few left compare
-    with their whole frame. with_self=False leaves out the target with the
+    with their whole frame. Each step is written, so no later one repeats it. with_self=False leaves out the target with the
     query's own id.
     """
     extent = targets.groupBy("frame_id").agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(f"e{c}") for c in XYZ])
@@ -87,6 +89,7 @@ def knn(queries: DataFrame, targets: DataFrame, k: int, q_key: str = "vertex_id"
     def top(pairs: DataFrame) -> DataFrame:
         return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
+    q, t = written(q, "asked")[0], written(t, "base")[0]
     parts, left = [], q
     for step in widen:
         r = F.col("_r") * step
@@ -94,10 +97,12 @@ def knn(queries: DataFrame, targets: DataFrame, k: int, q_key: str = "vertex_id"
         a = left.withColumn("_o", around).withColumns({f"_c{c}": F.floor(F.col(f"q{c}") / r) + F.col(f"_o.{c}") for c in XYZ}).drop("_o")
         b = t.withColumns({f"_c{c}": F.floor(F.col(f"t{c}") / (F.col("_tr") * step)) for c in XYZ}).drop("_tr")
         near = a.join(b, ["frame_id", "_cx", "_cy", "_cz"]).withColumn("d2", squared()).where((F.col("d2") <= r * r) & other).select(*key, "target_id", "d2")
-        best = top(near)
+        best, _ = written(top(near), "nearest")
         full = best.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select(*key)
         parts.append(best.join(full, key, "left_semi"))
         left = left.join(full, key, "left_anti")
+        if left.isEmpty():
+            break
     parts.append(top(left.join(t.drop("_tr"), "frame_id").withColumn("d2", squared()).where(other).select(*key, "target_id", "d2")))
     return reduce(DataFrame.unionByName, parts).select(*key, "target_id", "rank", F.sqrt("d2").alias("dist"))
 

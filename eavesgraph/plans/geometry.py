@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from eavesgraph.functions import curves, losses
 from eavesgraph.operators import cluster, features, match, normalise, order, sampling, spatial, wireframe
 from eavesgraph.operators.clouds import cloud, corners_of, live_norms, predicted_corners, selected_places, undirected_edges
-from eavesgraph.session import table
+from eavesgraph.session import table, written
 
 XYZ = ("x", "y", "z")
 QUERIES: dict = {}
@@ -252,9 +252,10 @@ bo AS (SELECT pr.f, pr.u, min(cid) AS bid FROM pr JOIN nu ON pr.f = nu.f AND pr.
 db AS (SELECT s.frame_id, s.point_id, s.x, s.y, s.z, CAST(coalesce(nu.cid, bo.bid) AS INTEGER) AS cluster_id, nu.cid IS NOT NULL AS is_core FROM s LEFT JOIN nu ON s.frame_id = nu.f AND s.point_id = nu.u LEFT JOIN bo ON s.frame_id = bo.f AND s.point_id = bo.u)"""
 
 
-@query(f"WITH RECURSIVE {_DB} SELECT frame_id, point_id, cluster_id, is_core FROM db")
+@query(f"WITH RECURSIVE {_DB} SELECT frame_id, point_id, coalesce(cluster_id, -1) AS cluster_id, is_core FROM db")
 def dbscan_labels(spark, d):
-    return cluster.dbscan(places(spark, d), EPS, MIN_PTS)
+    """Cluster of each selected place; -1 is noise."""
+    return cluster.dbscan(places(spark, d), EPS, MIN_PTS).fillna(-1, ["cluster_id"])
 
 
 @query(f"WITH RECURSIVE {_DB} SELECT frame_id, cluster_id AS corner_id, count(*) AS n_members, round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y, round(avg(z), 6) + 0.0 AS z FROM db WHERE cluster_id IS NOT NULL GROUP BY ALL")
@@ -326,7 +327,7 @@ w AS (SELECT *, pos // 128 AS patch, pos % 128 AS slot, (n - 1) // 128 AS last F
 
 
 @query(f"""WITH {_PATCH} SELECT frame_id, point_id, patch, slot, false AS filler FROM w
-UNION ALL SELECT frame_id, point_id, last, slot - ((last + 1) * 128 - n) + n - last * 128, true FROM w WHERE n > 128 AND patch = last - 1 AND slot >= 128 - ((last + 1) * 128 - n)""")
+UNION ALL SELECT frame_id, point_id, last, slot, true FROM w WHERE n > 128 AND patch = last - 1 AND slot >= 128 - ((last + 1) * 128 - n)""")
 def patch_assign(spark, d):
     return order.patches(order.serialise(points(spark, d), GRID), 128)
 
@@ -410,7 +411,7 @@ def face_loop_edges(spark, d):
     return wireframe.loop_edges(loops)
 
 
-_SPLIT = f"{_HC}, {_E}, l AS (SELECT *, row_number() OVER (PARTITION BY frame_id, cluster_id ORDER BY vertex_id) - 1 AS local FROM hc), se AS (SELECT e.frame_id, a.cluster_id, a.local AS src, b.local AS dst FROM e JOIN l a ON e.frame_id = a.frame_id AND e.src = a.vertex_id JOIN l b ON e.frame_id = b.frame_id AND e.dst = b.vertex_id AND a.cluster_id = b.cluster_id), off AS (SELECT frame_id, cluster_id, count(*) AS n_vertices, CAST(coalesce(sum(count(*)) OVER (PARTITION BY frame_id ORDER BY cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM hc GROUP BY ALL)"
+_SPLIT = f"{_HC}, {_E}, l AS (SELECT *, row_number() OVER (PARTITION BY frame_id, cluster_id ORDER BY vertex_id) - 1 AS local FROM hc), se AS (SELECT e.frame_id, a.cluster_id, a.local AS src, b.local AS dst FROM e JOIN l a ON e.frame_id = a.frame_id AND e.src = a.vertex_id JOIN l b ON e.frame_id = b.frame_id AND e.dst = b.vertex_id AND a.cluster_id = b.cluster_id), off AS (SELECT frame_id, cluster_id, n_vertices, CAST(coalesce(sum(n_vertices) OVER (PARTITION BY frame_id ORDER BY cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM (SELECT frame_id, cluster_id, count(*) AS n_vertices FROM hc GROUP BY ALL))"
 
 
 @query(f"WITH RECURSIVE {_SPLIT} SELECT frame_id, cluster_id, CAST(src AS INTEGER) AS src, CAST(dst AS INTEGER) AS dst FROM se")
@@ -568,15 +569,15 @@ K = 16
 def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p = points(spark, d)
     near = spatial.knn(p, p, K, "point_id", "point_id")
-    return features.with_coordinates(near, p), p
+    return written(features.with_coordinates(near, p), "pairs")[0], p
 
 
 _K = f"{_C}, {_knn('c', 'c', K, 'point_id')}, pr AS (SELECT k.*, q.x AS qx, q.y AS qy, q.z AS qz, t.x AS tx, t.y AS ty, t.z AS tz FROM k JOIN c q ON k.frame_id = q.frame_id AND k.query_id = q.point_id JOIN c t ON k.frame_id = t.frame_id AND k.target_id = t.point_id)"
 
 
-@query(f"WITH {_K} SELECT frame_id, query_id, " + ", ".join(f"round(covar_pop({a}, {b}), 6) + 0.0 AS {n}" for n, a, b in (("xx", "tx", "tx"), ("xy", "tx", "ty"), ("xz", "tx", "tz"), ("yy", "ty", "ty"), ("yz", "ty", "tz"), ("zz", "tz", "tz"))) + ", count(*) AS n FROM pr GROUP BY ALL")
+@query(f"WITH {_K} SELECT frame_id, query_id, " + ", ".join(f"round(covar_pop(t{n[0]} - q{n[0]}, t{n[1]} - q{n[1]}), 12) + 0.0 AS {n}" for n in ("xx", "xy", "xz", "yy", "yz", "zz")) + ", count(*) AS n FROM pr GROUP BY ALL")
 def neighborhood_covariance(spark, d):
-    return rounded(features.covariances(_pairs(spark, d)[0]), "xx", "xy", "xz", "yy", "yz", "zz")
+    return features.covariances(_pairs(spark, d)[0]).withColumns({c: F.round(c, 12) + F.lit(0.0) for c in ("xx", "xy", "xz", "yy", "yz", "zz")})
 
 
 @query(f"WITH {_K} SELECT frame_id, query_id AS point_id, round(sqrt(avg((tz-qz)*(tz-qz))), 6) + 0.0 AS height_dev FROM pr GROUP BY ALL")

@@ -97,7 +97,6 @@ class PieceModel:
         The forward sums are kept as mantissas with a shared scale, so very
         long words do not underflow.
         """
-        word = word[:200] if len(word) <= 200 else word
         alpha = np.zeros((len(word) + 2, len(self.langs)))
         alpha[0] = 1.0
         scale = np.zeros(len(word) + 2)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eavesgraph.operators.skew import heavy_keys, join_by_weight
+from eavesgraph.session import written
 
 
 def frame_key(c: Column | str) -> Column:
@@ -30,6 +31,7 @@ def state_of(loaded_at: str = "loaded_at") -> Column:
 def _verdicts(refs: DataFrame, targets: DataFrame, keys: list[str]) -> tuple[DataFrame, list[tuple], DataFrame]:
     """(references per key and month with the key's state, heavy keys, states)."""
     pre = refs.groupBy("ref_table", "ref_col", *keys, F.date_trunc("month", "loaded_at").alias("month")).agg(F.count("*").alias("n"), F.min("loaded_at").alias("first_ref"), F.max("loaded_at").alias("last_ref"))
+    pre, _ = written(pre, "references")
     states = key_states(targets, keys)
     heavy = heavy_keys(pre, keys)
     return join_by_weight(pre, states, keys, heavy), heavy, states

@@ -8,7 +8,7 @@ changes. The groups are exactly the connected components of "at most eps apart".
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eavesgraph.operators.components import minimum_labels
@@ -86,5 +86,6 @@ def describe_groups(members: DataFrame, groups: DataFrame, typical: int = 3) ->
     mean = members.groupBy(*key).agg(*[F.avg(f"p{c}").alias(f"m{c}") for c in "xyz"], F.min(cell).alias("dense"))
     inside = members.join(mean, key).where(cell == F.col("dense"))
     d2 = _square([F.col(f"p{c}") - F.col(f"m{c}") for c in "xyz"])
-    top = inside.groupBy(*key).agg(F.slice(F.sort_array(F.collect_list(F.struct(d2.alias("d2"), "point_id"))), 1, typical)["point_id"].alias("central"))
+    ranked = inside.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(d2, "point_id"))).where(F.col("rank") <= typical)
+    top = ranked.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("rank", "point_id")))["point_id"].alias("central"))
     return groups.join(mean.drop("dense"), key).join(top, key).select("frame_id", F.col("label").alias("first_point_id"), "n_points", *[F.round(f"m{c}", 6).alias(c) for c in "xyz"], "central")

@@ -9,6 +9,8 @@ from eavesgraph.operators.integrity import frame_key
 
 XYZ = ("x", "y", "z")
 CHANNELS = ("r", "g", "b", "nir", "intensity")
+#: Added to vertex ids where points and vertices are numbered together.
+VERTEX_BASE = 1 << 40
 
 
 def cloud(points: DataFrame, *more: str) -> DataFrame:
@@ -23,6 +25,18 @@ def corners_of(vertices: DataFrame) -> DataFrame:
     return live.groupBy(frame_key("frame_id").alias("frame_id"), "vertex_id").agg(first).select("frame_id", "vertex_id", "p.*")
 
 
+def members(points: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(frame_id, member_id, kind, x, y, z): sample points and vertices as one cloud; vertices are numbered after all points."""
+    p = points.select("frame_id", F.col("point_id").cast("long").alias("member_id"), F.lit("sample").alias("kind"), *XYZ)
+    v = vertices.select("frame_id", (F.col("vertex_id") + F.lit(VERTEX_BASE)).alias("member_id"), F.lit("vertex").alias("kind"), *XYZ)
+    return p.unionByName(v)
+
+
+def vertex_labels(labels: DataFrame) -> DataFrame:
+    """(frame_id, vertex_id, cluster_id): the labels of members() that belong to vertices."""
+    return labels.where(F.col("member_id") >= VERTEX_BASE).select("frame_id", (F.col("member_id") - F.lit(VERTEX_BASE)).cast("int").alias("vertex_id"), "cluster_id")
+
+
 def undirected_edges(edges: DataFrame) -> DataFrame:
     """(frame_id, src, dst), src < dst, each pair once; loops and ends of -1 or null are dropped."""
     e = edges.where("frame_id is not null and src >= 0 and dst >= 0 and src <> dst")

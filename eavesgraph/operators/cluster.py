@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from itertools import product
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eavesgraph.operators.components import components
+from eavesgraph.operators.components import components, minimum_labels
 from eavesgraph.operators.spatial import XYZ, knn, radius_pairs
 from eavesgraph.session import written
 
@@ -46,26 +50,71 @@ def centroids(points: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def height_components(points: DataFrame, distance: float, height: float, key: str = "point_id") -> DataFrame:
-    """(frame_id, key, cluster_id): components of the steps shorter than ``distance`` that rise less than ``height``."""
-    p = points.select("frame_id", F.col(key).alias("u"), *XYZ)
-    z = lambda n: p.select("frame_id", F.col("u").alias(f"{n}_id"), F.col("z").alias(f"{n}z"))
-    near = radius_pairs(p, p, distance, "u", "u").where("query_id < target_id").join(z("query"), ["frame_id", "query_id"]).join(z("target"), ["frame_id", "target_id"])
-    links = near.where(F.abs(F.col("queryz") - F.col("targetz")) < height).select("frame_id", F.col("query_id").alias("u"), F.col("target_id").alias("v"))
-    return _numbered(components(p.select("frame_id", "u"), links)).select("frame_id", F.col("u").alias(key), "cluster_id")
-
+    """(frame_id, key, cluster_id): components of the steps shorter than ``distance`` that rise less than ``height``.
 
-def merge_small(points: DataFrame, labels: DataFrame, min_points: int, key: str = "point_id") -> DataFrame:
+    Members of a cell are always linked, so cells are the nodes. Cells whose
+    boxes decide are joined first; the points of two cells are compared only
+    where their boxes leave it open and they are not yet together, so the result
+    is exact. Rows with a coordinate that is null, not finite or beyond 1e12
+    stay alone.
+    """
+    sound = F.coalesce(reduce(lambda a, b: a & b, [F.abs(c) < 1e12 for c in XYZ]), F.lit(False))
+    p, _ = written(points.select("frame_id", F.col(key).alias("u"), *XYZ, sound.alias("_sound")), "members")
+    if not (distance > 0 and height > 0):
+        return _numbered(p.select("frame_id", "u", F.col("u").alias("label"))).select("frame_id", F.col("u").alias(key), "cluster_id")
+    tall = 0.999 * min(height, distance / 2)
+    wide = 0.999 * math.sqrt((distance * distance - tall * tall) / 2)
+    edge = {"x": wide, "y": wide, "z": tall}
+    at = p.where("_sound").select("frame_id", "u", *XYZ, *[F.floor(F.col(c) / edge[c]).alias(f"_c{c}") for c in XYZ])
+    cell = ["frame_id", "_cx", "_cy", "_cz"]
+    cells, _ = written(at.groupBy(*cell).agg(F.min("u").alias("node"), *[g(c).alias(f"{n}{c}") for c in XYZ for g, n in ((F.min, "lo"), (F.max, "hi"))]), "cells")
+    own, _ = written(at.join(cells.select(*cell, "node"), cell).select("frame_id", "node", "u", *XYZ), "own")
+
+    reach = {c: math.ceil(distance / wide) if c != "z" else math.ceil(min(height, distance) / tall) for c in XYZ}
+    steps = [o for o in product(*[range(-reach[c], reach[c] + 1) for c in XYZ]) if o > (0, 0, 0)]
+    box = lambda n: [F.col(f"{e}{c}").alias(f"{n}{e}{c}") for c in XYZ for e in ("lo", "hi")]
+    around = F.explode(F.array(*[F.struct(*[F.lit(d).alias(c) for d, c in zip(o, XYZ)]) for o in steps]))
+    a = cells.select("frame_id", F.col("node").alias("u"), *box("a"), *cell[1:], around.alias("_o")).withColumns({f"_c{c}": F.col(f"_c{c}") + F.col(f"_o.{c}") for c in XYZ}).drop("_o")
+    b = cells.select(*cell, F.col("node").alias("v"), *box("b"))
+    apart = {c: F.greatest(F.lit(0.0), F.col(f"blo{c}") - F.col(f"ahi{c}"), F.col(f"alo{c}") - F.col(f"bhi{c}")) for c in XYZ}
+    span = {c: F.greatest(f"ahi{c}", f"bhi{c}") - F.least(f"alo{c}", f"blo{c}") for c in XYZ}
+    within = lambda d: (d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"] < distance * distance) & (F.abs(d["z"]) < height)
+    pairs, _ = written(a.join(b, cell).where(within(apart)).withColumn("_sure", within(span)).drop(*cell[1:]), "cell_pairs")
+
+    nodes = cells.select("frame_id", F.col("node").alias("u"))
+    first, _ = written(components(nodes, pairs.where("_sure").select("frame_id", "u", "v")), "first")
+    side = lambda c: first.select("frame_id", F.col("u").alias(c), F.col("label").alias(f"l{c}"))
+    undecided, _ = written(pairs.where("not _sure").join(side("u"), ["frame_id", "u"]).join(side("v"), ["frame_id", "v"]).where("lu <> lv"), "undecided")
+
+    def near(end: str, other: str, name: str) -> DataFrame:
+        j = undecided.join(own.select("frame_id", F.col("node").alias(end), *[F.col(c).alias(f"{name}{c}") for c in XYZ]), ["frame_id", end])
+        gap = {c: F.greatest(F.lit(0.0), F.col(f"{other}lo{c}") - F.col(f"{name}{c}"), F.col(f"{name}{c}") - F.col(f"{other}hi{c}")) for c in XYZ}
+        return j.where(within(gap)).select("frame_id", "u", "v", "lu", "lv", *[f"{name}{c}" for c in XYZ])
+
+    met = near("u", "b", "q").join(near("v", "a", "t").drop("lu", "lv"), ["frame_id", "u", "v"]).where(within({c: F.col(f"q{c}") - F.col(f"t{c}") for c in XYZ}))
+    last = minimum_labels(met.select("frame_id", F.col("lu").alias("u"), F.col("lv").alias("v")).distinct()).select("frame_id", F.col("u").alias("label"), F.col("label").alias("_last"))
+    final = first.join(last, ["frame_id", "label"], "left").select("frame_id", F.col("u").alias("node"), F.coalesce("_last", "label").alias("label"))
+    alone = p.where("not _sound").select("frame_id", "u", F.col("u").alias("label"))
+    labels, _ = written(own.join(final, ["frame_id", "node"]).select("frame_id", "u", "label").unionByName(alone), "labelled")
+    return _numbered(labels).select("frame_id", F.col("u").alias(key), "cluster_id")
+
+
+def merge_small(points: DataFrame, labels: DataFrame, min_points: int, key: str = "point_id", samples: Column | None = None) -> DataFrame:
     """(frame_id, key, cluster_id): members of clusters under min_points go, one by one, to the cluster of the nearest member of a large one.
 
+    samples: condition on ``points``; only rows that meet it count for the size
+    of a cluster and draw others to it, but all rows of small clusters move.
     Frames without a large cluster stay as they are. Ties of distance go to the
     lower id. Clusters are renumbered from 0 in their old order.
     """
     labels, _ = written(labels, "merging")
-    sizes = labels.groupBy("frame_id", "cluster_id").agg((F.count("*") >= min_points).alias("large"))
-    both = labels.join(sizes, ["frame_id", "cluster_id"]).join(points.select("frame_id", key, *XYZ), ["frame_id", key])
+    sample = F.lit(True) if samples is None else F.coalesce(samples, F.lit(False))
+    placed = labels.join(points.select("frame_id", key, *XYZ, sample.alias("_sample")), ["frame_id", key])
+    sizes = placed.groupBy("frame_id", "cluster_id").agg((F.count_if("_sample") >= min_points).alias("large"))
+    both, _ = written(placed.join(sizes, ["frame_id", "cluster_id"]), "sized")
     any_large = sizes.where("large").select("frame_id").distinct()
     movers = both.where("not large").join(any_large, "frame_id", "left_semi")
-    host = both.where("large")
+    host = both.where("large and _sample")
     to = knn(movers, host, 1, key, key).join(host.select("frame_id", F.col(key).alias("target_id"), F.col("cluster_id").alias("to_id")), ["frame_id", "target_id"]).select("frame_id", F.col("query_id").alias(key), "to_id")
     moved = labels.join(to, ["frame_id", key], "left").select("frame_id", key, F.coalesce("to_id", "cluster_id").alias("label"))
     return _numbered(moved).select("frame_id", key, "cluster_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eavesgraph.functions import curves, losses
 from eavesgraph.operators import cluster, features, match, normalise, order, sampling, spatial, wireframe
-from eavesgraph.operators.clouds import cloud, corners_of, live_norms, predicted_corners, selected_places, undirected_edges
+from eavesgraph.operators.clouds import VERTEX_BASE, cloud, corners_of, live_norms, members, predicted_corners, selected_places, undirected_edges, vertex_labels
 from eavesgraph.session import table, written
 
 XYZ = ("x", "y", "z")
@@ -290,6 +290,35 @@ def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return v, cluster.height_components(v, 1.5, 0.2, "vertex_id")
 
 
+def _members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Points and vertices as one cloud, and their height components."""
+    m, _ = written(members(points(spark, d), corners(spark, d)), "union")
+    return m, cluster.height_components(m, 1.5, 0.2, "member_id")
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    """Components of points and vertices; those of under 20 sample points are merged into the nearest large ones."""
+    m, labels = _members(spark, d)
+    return cluster.merge_small(m, labels, 20, "member_id", F.col("kind") == "sample")
+
+
+def _by_kind(labels: DataFrame) -> DataFrame:
+    vertex = F.col("member_id") >= VERTEX_BASE
+    own = F.when(vertex, F.col("member_id") - VERTEX_BASE).otherwise(F.col("member_id"))
+    return labels.select("frame_id", F.when(vertex, "vertex").otherwise("sample").alias("kind"), own.alias("id"), "cluster_id")
+
+
+@query()
+def segment_components(spark, d):
+    """Height components of the sample points and vertices together."""
+    return _by_kind(_members(spark, d)[1])
+
+
+@query()
+def segment_merge_small(spark, d):
+    return _by_kind(_segments(spark, d))
+
+
 @query()
 def kmeans_clusters(spark, d):
     """k-means of the selected places of each frame, k from the spacing of its points."""
@@ -431,6 +460,24 @@ def wireframe_merge(spark, d):
     return wireframe.merged_edges(wireframe.split_edges(edges(spark, d), labels), wireframe.merge_offsets(labels))
 
 
+@query()
+def segment_edges(spark, d):
+    """Edges within a segment of points and vertices."""
+    return wireframe.split_edges(edges(spark, d), vertex_labels(_segments(spark, d)))
+
+
+@query()
+def segment_merge_offsets(spark, d):
+    return wireframe.merge_offsets(vertex_labels(_segments(spark, d)))
+
+
+@query()
+def segment_wireframe_merge(spark, d):
+    """As wireframe_merge, with the segments of points and vertices."""
+    labels, _ = written(vertex_labels(_segments(spark, d)), "segments")
+    return wireframe.merged_edges(wireframe.split_edges(edges(spark, d), labels), wireframe.merge_offsets(labels))
+
+
 @query(f"WITH {_C} SELECT frame_id, count(*) AS n_points, CASE WHEN count(*) <= 300 THEN 'original' ELSE 'cluster' END AS branch FROM c GROUP BY 1")
 def size_gate(spark, d):
     return wireframe.size_gate(points(spark, d), 300)

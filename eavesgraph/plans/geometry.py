@@ -611,11 +611,13 @@ def newest_norms(spark, d):
 # --- descriptors -----------------------------------------------------------
 
 K = 16
+#: Neighbours of the large scale of the MRGD; the small one takes every fourth.
+MRGD_K = 32
 
 
-def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _pairs(spark: SparkSession, d: str, k: int = K) -> tuple[DataFrame, DataFrame]:
     p = points(spark, d)
-    near = spatial.knn(p, p, K, "point_id", "point_id")
+    near = spatial.knn(p, p, k, "point_id", "point_id")
     return written(features.with_coordinates(near, p), "pairs")[0], p
 
 
@@ -652,14 +654,16 @@ def fpfh_descriptor(spark, d):
 
 @query()
 def mrgd_descriptor(spark, d):
-    return features.mrgd(*_pairs(spark, d))
+    return features.mrgd(*_pairs(spark, d, MRGD_K))
 
 
 @query()
 def spectral_energy(spark, d):
-    v = corners(spark, d)
-    near = spatial.knn(v, v, 4, "vertex_id", "vertex_id", with_self=False)
-    return features.spectral_energy(near.select("frame_id", "query_id", "target_id"))
+    """Spectral energy of the points on their neighbour graphs of both scales (8 and 32)."""
+    p = points(spark, d)
+    near, _ = written(spatial.knn(p, p, MRGD_K, "point_id", "point_id").select("frame_id", "query_id", "target_id", "rank"), "pairs")
+    e = features.spectral_energy(near, scales=(features.every_nth(), True))
+    return e.withColumnsRenamed({"energy0": "energy_small", "energy1": "energy_large"})
 
 
 @query(f"WITH {_C}, {_V}, {_knn('v', 'c', 8)}, m AS (SELECT frame_id, query_id, max(-dist) AS mx FROM k GROUP BY ALL) SELECT k.frame_id, query_id, round(sum(exp(-dist-mx)*z)/sum(exp(-dist-mx)), 6) + 0.0 AS z, count(*) AS n FROM k JOIN m USING (frame_id, query_id) JOIN c ON k.frame_id = c.frame_id AND k.target_id = c.point_id GROUP BY ALL")

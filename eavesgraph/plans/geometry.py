@@ -613,6 +613,10 @@ def newest_norms(spark, d):
 K = 16
 #: Neighbours of the large scale of the MRGD; the small one takes every fourth.
 MRGD_K = 32
+#: Neighbours of the shape features.
+SHAPE_K = 30
+#: Radius and most neighbours of FPFH and of its normals, in clouds scaled to the unit ball.
+FPFH_BALL, FPFH_NORMALS = (0.25, 100), (0.1, 30)
 
 
 def _pairs(spark: SparkSession, d: str, k: int = K) -> tuple[DataFrame, DataFrame]:
@@ -622,6 +626,7 @@ def _pairs(spark: SparkSession, d: str, k: int = K) -> tuple[DataFrame, DataFram
 
 
 _K = f"{_C}, {_knn('c', 'c', K, 'point_id')}, pr AS (SELECT k.*, q.x AS qx, q.y AS qy, q.z AS qz, t.x AS tx, t.y AS ty, t.z AS tz FROM k JOIN c q ON k.frame_id = q.frame_id AND k.query_id = q.point_id JOIN c t ON k.frame_id = t.frame_id AND k.target_id = t.point_id)"
+_KL = f"{_C}, {_knn('c', 'c', MRGD_K, 'point_id')}, pr AS (SELECT k.*, q.x AS qx, q.y AS qy, q.z AS qz, t.x AS tx, t.y AS ty, t.z AS tz FROM k JOIN c q ON k.frame_id = q.frame_id AND k.query_id = q.point_id JOIN c t ON k.frame_id = t.frame_id AND k.target_id = t.point_id)"
 
 
 @query(f"WITH {_K} SELECT frame_id, query_id, " + ", ".join(f"round(covar_pop(t{n[0]} - q{n[0]}, t{n[1]} - q{n[1]}), 12) + 0.0 AS {n}" for n in ("xx", "xy", "xz", "yy", "yz", "zz")) + ", count(*) AS n FROM pr GROUP BY ALL")
@@ -634,22 +639,37 @@ def height_deviation(spark, d):
     return rounded(features.height_deviation(_pairs(spark, d)[0]), "height_dev")
 
 
+@query(f"WITH {_KL} SELECT frame_id, query_id, " + ", ".join(f"round(covar_pop(t{n[0]} - q{n[0]}, t{n[1]} - q{n[1]}), 12) + 0.0 AS {n}" for n in ("xx", "xy", "xz", "yy", "yz", "zz")) + ", count(*) AS n FROM pr GROUP BY ALL")
+def neighborhood_covariance_32(spark, d):
+    """As neighborhood_covariance, with the neighbours of the MRGD."""
+    return features.covariances(_pairs(spark, d, MRGD_K)[0]).withColumns({c: F.round(c, 12) + F.lit(0.0) for c in ("xx", "xy", "xz", "yy", "yz", "zz")})
+
+
+@query(f"WITH {_KL} SELECT frame_id, query_id AS point_id, round(sqrt(avg((tz-qz)*(tz-qz))), 6) + 0.0 AS height_dev FROM pr GROUP BY ALL")
+def height_deviation_32(spark, d):
+    """As height_deviation, with the neighbours of the MRGD."""
+    return rounded(features.height_deviation(_pairs(spark, d, MRGD_K)[0]), "height_dev")
+
+
 @query()
 def normals_curvature(spark, d):
-    pairs, p = _pairs(spark, d)
+    pairs, p = _pairs(spark, d, MRGD_K)
     n = features.normals(pairs, p)
     return n.join(features.curvature(pairs, n), ["frame_id", "point_id"])
 
 
 @query()
 def geometric_features(spark, d):
-    return features.shape_features(_pairs(spark, d)[0])
+    return features.shape_features(_pairs(spark, d, SHAPE_K)[0])
 
 
 @query()
 def fpfh_descriptor(spark, d):
-    pairs, p = _pairs(spark, d)
-    return features.fpfh(pairs, features.normals(pairs, p))
+    p = points(spark, d)
+    p, _ = written(normalise.normalise(p, normalise.frame_stats(p)).select("frame_id", "point_id", *XYZ).dropna(subset=list(XYZ)), "unit")
+    near = spatial.knn(p, p, FPFH_BALL[1], "point_id", "point_id").where(F.col("dist") < FPFH_BALL[0])
+    pairs, _ = written(features.with_coordinates(near, p), "pairs")
+    return features.fpfh(pairs, features.normals(features.in_ball(pairs, *FPFH_NORMALS), p))
 
 
 @query()

@@ -41,7 +41,9 @@ def p3_monthly(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return compaction.surplus_copies(compaction.body_records(table(spark, d, "tiny_files")))
+    """The record lines that the consolidation did not keep."""
+    files = table(spark, d, "tiny_files")
+    return compaction.surplus_of(files, compaction.consolidate(files, scratch_path(spark, "compacted")))
 
 
 def p5_records(spark: SparkSession, d: str) -> DataFrame:

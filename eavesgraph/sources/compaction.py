@@ -10,10 +10,12 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from eavesgraph.operators.integrity import frame_key
 from eavesgraph.operators.skew import heavy_keys, join_by_weight
@@ -90,8 +92,8 @@ class SnapshotTable:
     the snapshot they read.
     """
 
-    def __init__(self, spark: SparkSession, path: str, by: list[str]):
-        self.spark, self.path, self.by = spark, path.rstrip("/"), by
+    def __init__(self, spark: SparkSession, path: str, by: list[str], schema: StructType | None = None):
+        self.spark, self.path, self.by, self.schema = spark, path.rstrip("/"), by, schema
 
     def _versions(self) -> list[int]:
         fs, p = hadoop_fs(self.spark, f"{self.path}/_snapshots")
@@ -162,22 +164,26 @@ class SnapshotTable:
         return self._publish(self.current(), None, lambda: df.write.mode("append").partitionBy(*self.by).parquet(self.path))
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        reader = self.spark.read.schema(self.schema) if self.schema else self.spark.read
+        return reader.parquet(self.path)
 
     def crowded(self, snapshot: Snapshot, small_bytes: int, min_small: int) -> dict[str, int]:
         """Partitions with at least ``min_small`` files under ``small_bytes``, and their bytes."""
         return {part: sum(files.values()) for part, files in snapshot.partitions.items() if sum(size < small_bytes for size in files.values()) >= min_small}
 
-    def compact(self, target_bytes: int = 256 << 20, small_bytes: int | None = None, min_small: int = 8, base: Snapshot | None = None) -> Snapshot:
+    def compact(self, target_bytes: int = 256 << 20, small_bytes: int | None = None, min_small: int = 8, base: Snapshot | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> Snapshot:
         """Rewrite the crowded partitions, and only these, into files of about target_bytes.
 
         The partitions are written beside the table first, then put in place by
         a dynamic partition overwrite; record counts of both are compared
         before that, so a lost or doubled record stops the rewrite. Raises
         Conflict if a snapshot was published, or a file added, since ``base``.
+
+        keep: gives the records that stay, with their partition columns
+        unchanged; every partition may hold some that go, so all are rewritten.
         """
         base = base or self.current()
-        crowded = self.crowded(base, small_bytes or target_bytes // 4, min_small)
+        crowded = self.crowded(base, small_bytes or target_bytes // 4, 0 if keep else min_small)
         if not crowded:
             return base
         spark, by = self.spark, self.by
@@ -186,7 +192,7 @@ class SnapshotTable:
         staged = f"{self.path}/_staged-{uuid.uuid4().hex[:8]}"
 
         def write() -> None:
-            old = self.read().withColumn("_part", name)
+            old = (keep(self.read()) if keep else self.read()).withColumn("_part", name)
             picked = old.join(F.broadcast(wanted), F.col("_part") == F.col("part"))
             spread = F.pmod(F.xxhash64(*[c for c in old.columns if c not in (*by, "_part")]), "n_files")
             total = sum(math.ceil(size / target_bytes) for size in crowded.values())
@@ -207,7 +213,9 @@ class SnapshotTable:
 def consolidate(files: DataFrame, path: str, target_bytes: int = 256 << 20, buckets: int | None = None) -> SnapshotTable:
     """Hold every record of small text files exactly once in few well-sized Parquet files.
 
-    Records are partitioned by kind and a bucket of frames; the number of
+    The record lines are appended as they landed, copies included; the
+    partitions, crowded with files, are then rewritten with first copies only.
+    Equal records are in one partition. Records are partitioned by kind and a bucket of frames; the number of
     buckets follows from the bytes of the bodies unless given. A frame with
     very many records is spread over the files of its bucket by the record.
     """
@@ -215,8 +223,17 @@ def consolidate(files: DataFrame, path: str, target_bytes: int = 256 << 20, buck
     if buckets is None:
         size = files.agg(F.sum(F.octet_length("body"))).first()[0] or 0
         buckets = max(1, math.ceil(size / target_bytes))
-    out = unique_records(body_records(files)).withColumn("bucket", F.pmod(F.xxhash64("frame_id", "point_id"), F.lit(buckets)).cast("int"))
-    made = SnapshotTable(spark, path, ["kind", "bucket"])
-    made.append(out)
-    made.compact(target_bytes, min_small=2)
+    def bucketed(records: DataFrame) -> DataFrame:
+        return records.withColumn("bucket", F.pmod(F.xxhash64("frame_id", F.col("point_id") + 0.0), F.lit(buckets)).cast("int"))
+
+    landed = bucketed(body_records(files))
+    made = SnapshotTable(spark, path, ["kind", "bucket"], landed.schema)
+    made.append(landed)
+    made.compact(target_bytes, keep=lambda records: bucketed(unique_records(records)))
     return made
+
+
+def surplus_of(files: DataFrame, made: SnapshotTable) -> DataFrame:
+    """(file_id, line_no): the record lines of the files that their consolidation did not keep; malformed lines are no records."""
+    lines = body_records(files).where("malformed is null").select("file_id", "line_no")
+    return lines.join(made.read().select("file_id", "line_no"), ["file_id", "line_no"], "left_anti")

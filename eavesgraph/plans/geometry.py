@@ -586,15 +586,32 @@ def weighted_sample_topk(spark, d):
     return sampling.weighted_sample(p, "score", 64)
 
 
+#: Points a frame of a sample, and of the draw it is taken from.
+SAMPLE, DRAWN = 2048, 4096
+
+
+@query(ORACLE["deterministic_resample"].replace("256", str(SAMPLE)))
+def deterministic_resample_2048(spark, d):
+    return sampling.resample(points(spark, d), SAMPLE)
+
+
+@query(ORACLE["weighted_sample_topk"].replace("rank <= 64", f"rank <= {DRAWN}"))
+def weighted_sample_top4096(spark, d):
+    p = table(spark, d, "pred_points").where("score is not null and not isnan(score)").groupBy("frame_id", "point_id").agg(F.max("score").alias("score"))
+    return sampling.weighted_sample(p, "score", DRAWN)
+
+
 @query()
 def farthest_points(spark, d):
-    return sampling.farthest_points(points(spark, d), 64)
+    return sampling.farthest_points(points(spark, d), SAMPLE)
 
 
 @query()
 def adaptive_sample(spark, d):
-    s = table(spark, d, "pred_points").where("score is not null and not isnan(score)").groupBy("frame_id", "point_id").agg(F.max("score").alias("score"))
-    return sampling.adaptive_sample(points(spark, d).join(s, ["frame_id", "point_id"]), "score", 128, 512)
+    """Sample by the shape score of the points."""
+    pairs, p = _pairs(spark, d, SHAPE_K)
+    score, _ = written(features.shape_features(pairs).select("frame_id", "point_id", "score"), "score")
+    return sampling.adaptive_sample(p.join(score, ["frame_id", "point_id"]), "score", SAMPLE, DRAWN)
 
 
 @query(f"WITH {_F5}, u AS (SELECT run_id AS frame_id, unnest(fpfh) AS x, generate_subscripts(fpfh, 1) - 1 AS i FROM f), q AS (SELECT frame_id, i, var_pop(x) AS v FROM u GROUP BY ALL) SELECT frame_id, CAST(i AS INTEGER) AS column_no, round(v, 6) + 0.0 AS variance, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY round(v, 12) DESC, i) AS INTEGER) AS rank FROM q QUALIFY rank <= 3")

@@ -190,9 +190,11 @@ class ItemIndex:
         item = self.item_of[q]
         diagonal = p - (q - self.start[item])
         cases = np.unique(np.stack((doc, item, diagonal)), axis=1)
-        near = np.ones(cases.shape[1], bool)
-        near[1:] = (cases[0, 1:] != cases[0, :-1]) | (cases[1, 1:] != cases[1, :-1]) | (cases[2, 1:] > cases[2, :-1] + 1)
-        doc, item, diagonal = cases[:, near]
+        fresh = np.ones(cases.shape[1], bool)
+        fresh[1:] = (cases[0, 1:] != cases[0, :-1]) | (cases[1, 1:] != cases[1, :-1]) | (cases[2, 1:] > cases[2, :-1] + 1)
+        # of successive diagonals every other one is kept, so each is at most 1 from a kept one
+        run = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        doc, item, diagonal = cases[:, (np.arange(len(fresh)) - run) % 2 == 0]
         words, errors = self.stretches(ids, item, diagonal)
         for k in np.flatnonzero(words):
             yield int(doc_ids[doc[k]]), int(self.item_ids[item[k]]), int(words[k]), int(errors[k])

@@ -1,38 +1,61 @@
 """Passages of held-out items inside documents, by winnowing.
 
-Documents and items become word sequences. Of the hashes of k successive words
-the least of every window is kept, so any shared run of at least k + window - 1
-words shares a kept fingerprint. Fingerprints of documents are joined with
-those of the items, and every hit is extended to the longest stretch of the
-item with few enough altered, left-out or added words.
+Documents and items become sequences of word hashes. Of the hashes of k
+successive words the least of every window is kept, so any shared run of at
+least k + window - 1 words shares a kept fingerprint. One pass over the corpus
+keeps the fingerprints of regions dense in words of items; they are joined with
+those of the items, and every hit is extended both ways to the longest stretch
+of the item with few enough altered, left-out or added words.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eavesgraph.llm import subtitles
+from eavesgraph.session import broadcast_if_small, drop_path, written
 
 K, WINDOW = 3, 2
 #: A stretch has at least this many words of the item ...
 LEAST = 12
 #: ... and at most one error for so many of them.
 PER_ERROR = 6
-#: Words of items that are looked for in one pass over the documents.
-BLOCK_WORDS = 2_000_000
+#: Every stretch that is looked for has at least so many grams of the item among so many successive ones of the document.
+DENSE, SPAN = 4, 12
+#: Slots of the filter of grams, as powers of two: about 32 a gram, within these bounds (the largest takes 16 MB).
+LEAST_BITS, MOST_BITS = 16, 27
+#: Words kept with their hashes in a worker.
+CACHE = 1_000_000
+#: Cells of the extension that are worked on at once.
+CELLS = 4_000_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_GAP = 64
 
 
 def words_of(text: str | None) -> list[str]:
     return subtitles.WORD.findall(subtitles.skeleton(subtitles.dialogue(text))) if text else []
 
 
+class WordHashes(dict):
+    """A 63-bit hash of each word, the same in every process."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1
+        return h
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
 def gram_hashes(ids: np.ndarray, k: int = K) -> np.ndarray:
     """A 64-bit hash of the k words from each position; none where one is a gap (negative)."""
     n = len(ids) - k + 1
@@ -65,185 +88,276 @@ def winnow(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return at[h[at] != _NONE]
 
 
-class ItemIndex:
-    """Fingerprints and words of a block of items."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        seqs = [(i, words_of(t)) for i, t in items]
-        self.vocabulary: dict[str, int] = {}
-        for _, ws in seqs:
-            for w in ws:
-                self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-        self.item_ids = np.array([i for i, _ in seqs], np.int64)
-        self.length = np.array([len(ws) for _, ws in seqs], np.int64)
-        gap = 32
-        self.start = np.cumsum(self.length + gap) - self.length
-        self.ids = np.full(int(self.start[-1] + self.length[-1] + gap) if len(seqs) else gap, -1, np.int32)
-        for s, (_, ws) in zip(self.start, seqs):
-            self.ids[s : s + len(ws)] = [self.vocabulary[w] for w in ws]
-        h = gram_hashes(self.ids)
-        at = winnow(h)
-        order = np.argsort(h[at], kind="stable")
-        self.at = at[order]
-        self.hashes, self.first = np.unique(h[self.at], return_index=True)
-        self.first = np.append(self.first, len(self.at))
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
-        self.item_of = np.repeat(np.arange(len(seqs)), self.length + gap)[: len(self.ids)] if len(seqs) else np.zeros(gap, np.int64)
-        self.item_of = np.searchsorted(self.start, np.arange(len(self.ids)), "right") - 1
-
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position in ids, position in self.ids) of shared fingerprints."""
-        h = gram_hashes(ids)
-        at = winnow(h)
-        at = at[self.bits[(h[at] >> np.uint64(42)).astype(np.int64)]]
-        if not len(at) or not len(self.hashes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        slot = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
-        same = self.hashes[slot] == h[at]
-        at, slot = at[same], slot[same]
-        n = self.first[slot + 1] - self.first[slot]
-        mine = np.repeat(self.first[slot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.repeat(at, n), self.at[mine]
-
-    def promising(self, ids: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Hits around which 12 successive item words have at most 3 that match on no near diagonal.
-
-        Every stretch that is looked for has such a dozen about one of its
-        fingerprints: up to 23 words it has at most 3 errors, and a longer one
-        holds a dozen with at most 2.
+def joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes of all texts with gaps before, between and after, start of each)."""
+    size = np.array([len(p) for p in parts], np.int64)
+    start = _GAP + np.cumsum(size + _GAP) - size - _GAP
+    ids = np.full(int(size.sum()) + _GAP * (len(parts) + 1), -1, np.int64)
+    for s, p in zip(start, parts):
+        ids[s : s + len(p)] = p
+    return ids, start
+
+
+def neighbours_of(ids: np.ndarray, at: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """The words before and after the grams at ``at``; -1 is none."""
+    before = np.where(at > 0, ids[np.maximum(at - 1, 0)], -1)
+    after = np.where(at + k < len(ids), ids[np.minimum(at + k, len(ids) - 1)], -1)
+    return before, after
+
+
+def lists(values: np.ndarray, count: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """An Arrow list array of successive runs of ``values``."""
+    offset = np.zeros(len(count) + 1, np.int32)
+    np.cumsum(count, out=offset[1:])
+    return pa.ListArray.from_arrays(pa.array(offset), pa.array(values, kind))
+
+
+def slot_of(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+ITEM = "item_id long, words array<long>, grams array<long>, p array<int>, h array<long>, before array<long>, after array<long>"
+
+
+def item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words, all grams, and fingerprints (position, hash, words around) of each item that is long enough."""
+    hashes = WordHashes()
+    for b in batches:
+        rows = []
+        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            w = hashes.of(words_of(t))
+            if len(w) < LEAST:
+                continue
+            h = gram_hashes(w)
+            at = winnow(h)
+            rows.append((i, w, h.view(np.int64), at, h[at].view(np.int64), *neighbours_of(w, at)))
+        if rows:
+            cols = list(zip(*rows))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            arrays = [pa.array(cols[0], pa.int64()), *(lists(np.concatenate(c), np.array([len(x) for x in c]), k) for c, k in zip(cols[1:], kinds))]
+            yield pa.RecordBatch.from_arrays(arrays, ["item_id", "words", "grams", "p", "h", "before", "after"])
+
+
+def gram_filter(items: DataFrame) -> tuple[np.ndarray, int]:
+    """(64-bit words, bits): which slots of the hash range hold a gram of an item.
+
+    The slots are set by the executors; the driver gets at most 2^MOST_BITS / 64
+    words. With more items the filter lets more through, and misses nothing.
+    """
+    grams = items.select(F.explode("grams").alias("g"))
+    n = items.agg(F.sum(F.size("grams"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(n, 1))) + 5))
+    slot = F.shiftrightunsigned("g", 64 - bits)
+    packed = grams.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(g, {64 - bits}) & 63 as int))")).alias("b"))
+    out = np.zeros(max(1, (1 << bits) >> 6), np.int64)
+    for word, b in packed.toPandas().itertuples(index=False):
+        out[word] = b
+    return out.view(np.uint64), bits
+
+
+def passes(h: np.ndarray, filter_: np.ndarray, bits: int) -> np.ndarray:
+    s = slot_of(h, bits)
+    return ((filter_[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1) > 0) & (h != _NONE)
+
+
+REGION = "doc_id long, start int, words array<long>, p array<int>, h array<long>, before array<long>, after array<long>"
+
+
+def regions_of(doc_ids: np.ndarray, parts: list[np.ndarray], filter_: np.ndarray, bits: int, reach: int) -> pa.RecordBatch | None:
+    """The regions of documents that can hold a stretch, with their words and fingerprints.
+
+    A stretch has DENSE grams of items among SPAN successive ones somewhere, so
+    it lies within ``reach`` words of such a place.
+    """
+    ids, start = joined(parts)
+    h = gram_hashes(ids)
+    known = passes(h, filter_, bits)
+    total = np.concatenate(([0], np.cumsum(known)))
+    at = np.flatnonzero(total[SPAN:] - total[:-SPAN] >= DENSE) if len(known) >= SPAN else np.zeros(0, np.int64)
+    if not len(at):
+        return None
+    # a window may begin in the gap before a text or end in the one after it
+    doc = np.maximum(np.searchsorted(start, at + SPAN + K - 2, "right") - 1, 0)
+    end = start + np.array([len(p) for p in parts])
+    lo, hi = np.maximum(at - reach, start[doc]), np.minimum(at + SPAN + K - 1 + reach, end[doc])
+    step = np.zeros(len(ids) + 1, np.int32)
+    np.add.at(step, lo, 1)
+    np.add.at(step, hi, -1)
+    inside = np.concatenate(([0], np.cumsum(step[:-1]) > 0, [0])).astype(np.int8)
+    edge = np.diff(inside)
+    begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    doc = np.searchsorted(start, begin, "right") - 1
+    prints = winnow(h)
+    prints = prints[known[prints]]
+    first, last = np.searchsorted(prints, begin), np.searchsorted(prints, stop - K + 1)
+    n = np.maximum(last - first, 0)
+    mine = prints[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    before, after = neighbours_of(ids, mine)
+    arrays = [
+        pa.array(doc_ids[doc], pa.int64()),
+        pa.array(begin - start[doc], pa.int32()),
+        lists(ids[inside[1:-1] > 0], stop - begin, pa.int64()),
+        lists(mine - np.repeat(begin, n), n, pa.int32()),
+        *(lists(v, n, pa.int64()) for v in (h[mine].view(np.int64), before, after)),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "words", "p", "h", "before", "after"])
+
+
+class _Walk:
+    """How far stretches go from given cells, with ever more errors."""
+
+    def __init__(self, doc: np.ndarray, item: np.ndarray, step: int):
+        self.doc, self.item, self.step = doc, item, step
+
+    def slide(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Successive matching words from item position i and document position j on."""
+        out = np.zeros(i.shape, np.int64)
+        flat = out.ravel()
+        i, j = i.ravel().copy(), j.ravel().copy()
+        live = np.flatnonzero((i >= 0) & (j >= 0))
+        while len(live):
+            a, b = i[live], j[live]
+            ok = (a >= 0) & (b >= 0) & (a < len(self.item)) & (b < len(self.doc))
+            live, a, b = live[ok], a[ok], b[ok]
+            live = live[self.item[a] == self.doc[b]]
+            flat[live] += 1
+            i[live] += self.step
+            j[live] += self.step
+        return out
+
+    def last_match(self, p: np.ndarray, q: np.ndarray, far: np.ndarray, shift: np.ndarray, best: np.ndarray) -> None:
+        """Raise ``best`` of each cell to the last match on any diagonal up to where it was followed.
+
+        Errors never become fewer along a diagonal, so every place before the
+        furthest one can be reached too.
         """
-        before, width, drift = LEAST - K, 2 * LEAST - K, LEAST // PER_ERROR + 1
-        keep = np.zeros(len(p), bool)
-        for lo in range(0, len(p), 100_000):
-            pp, qq = p[lo : lo + 100_000], q[lo : lo + 100_000]
-            want = self.ids[np.clip(qq[:, None] + np.arange(-before, width - before), 0, len(self.ids) - 1)]
-            have = ids[np.clip(pp[:, None] + np.arange(-before - drift, width - before + drift), 0, len(ids) - 1)]
-            hit = np.zeros(want.shape, bool)
-            for d in range(2 * drift + 1):
-                hit |= have[:, d : d + width] == want
-            hit &= want > 0
-            total = np.zeros((len(pp), width + 1), np.int16)
-            np.cumsum(hit, axis=1, out=total[:, 1:])
-            keep[lo : lo + 100_000] = (total[:, LEAST:] - total[:, :-LEAST]).max(1) >= LEAST - drift
-        return keep
-
-    def stretches(self, ids: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(words, errors) of the best stretch of each item near a diagonal of ``ids``; 0 words if none.
-
-        diagonal: position in ids less position in the item. A stretch begins
-        and ends with a matching word; altered and left-out words count among
-        the words of the item, added ones only as errors.
+        cell, diagonal = np.nonzero(far > best[:, None])
+        n, shift = far[cell, diagonal], shift[diagonal]
+        while len(cell):
+            i, j = q[cell] + self.step * n, p[cell] + self.step * (n + shift)
+            ok = (n > best[cell]) & (n + shift > 0)
+            inside = (i >= 0) & (i < len(self.item)) & (j >= 0) & (j < len(self.doc))
+            hit = ok & inside
+            hit[hit] = self.item[i[hit]] == self.doc[j[hit]]
+            np.maximum.at(best, cell[hit], n[hit])
+            go = ok & ~hit
+            cell, n, shift = cell[go], n[go] - 1, shift[go]
+
+    def reach(self, p: np.ndarray, q: np.ndarray, most: int) -> np.ndarray:
+        """(cells, errors): the most item words after the cell (p, q) that end with a match.
+
+        The furthest place on each diagonal is carried on from e errors to e + 1:
+        an altered word keeps the diagonal, a left-out one leaves it for the one
+        below, an added one for the one above.
         """
-        words, errors = np.zeros(len(item), np.int64), np.zeros(len(item), np.int64)
-        order = np.argsort(self.length[item], kind="stable")
-        for lo in range(0, len(order), 256):
-            part = order[lo : lo + 256]
-            words[part], errors[part] = self._align(ids, item[part], diagonal[part])
-        return words, errors
-
-    def _align(self, ids: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        longest = int(self.length[item].max())
-        most = max(longest // PER_ERROR, 2)
-        band = min(most, 48)
-        offsets = np.arange(-band, band + 1)
-        b = len(item)
-        none = -10_000
-        f = np.full((b, most + 1, len(offsets)), none, np.int32)
-        best_n, best_e = np.zeros(b, np.int64), np.zeros(b, np.int64)
-        for i in range(longest):
-            want = np.where(i < self.length[item], self.ids[np.minimum(self.start[item] + i, len(self.ids) - 1)], -9)
-            at = diagonal[:, None] + i + offsets
-            have = np.where((at >= 0) & (at < len(ids)), ids[np.clip(at, 0, len(ids) - 1)], -1)
-            same = (have == want[:, None])[:, None, :]
-            new = np.where(same, np.maximum(f, np.where(np.arange(most + 1)[:, None] == 0, 0, none)) + 1, none)
-            ended = np.where(same, new, none)
-            new[:, 1:] = np.maximum(new[:, 1:], f[:, :-1] + 1)
-            new[:, 1:, :-1] = np.maximum(new[:, 1:, :-1], f[:, :-1, 1:] + 1)
-            for e in range(1, most + 1):
-                new[:, e, 1:] = np.maximum(new[:, e, 1:], new[:, e - 1, :-1])
-            f = np.where((want == -9)[:, None, None], none, new)
-            top = ended.max(2)
-            for e in range(most + 1):
-                good = (top[:, e] >= max(LEAST, PER_ERROR * e)) & (top[:, e] > best_n)
-                best_n[good], best_e[good] = top[good, e], e
-        return best_n, best_e
-
-    def search(self, doc_ids: np.ndarray, texts: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
-        """(doc_id, item_id, words, errors) for every item found in every text."""
-        get = self.vocabulary.get
-        starts, parts, size = [], [], 64
-        for t in texts:
-            ws = words_of(t)
-            starts.append(size)
-            parts.append([get(w, 0) for w in ws])
-            size += len(ws) + 64
-        ids = np.full(size, -1, np.int32)
-        for s, part in zip(starts, parts):
-            ids[s : s + len(part)] = part
-        p, q = self.hits(ids)
-        keep = self.promising(ids, p, q)
-        p, q = p[keep], q[keep]
-        if not len(p):
-            return
-        doc = np.searchsorted(np.array(starts), p, "right") - 1
-        item = self.item_of[q]
-        diagonal = p - (q - self.start[item])
-        cases = np.unique(np.stack((doc, item, diagonal)), axis=1)
-        fresh = np.ones(cases.shape[1], bool)
-        fresh[1:] = (cases[0, 1:] != cases[0, :-1]) | (cases[1, 1:] != cases[1, :-1]) | (cases[2, 1:] > cases[2, :-1] + 1)
-        # of successive diagonals every other one is kept, so each is at most 1 from a kept one
-        run = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-        doc, item, diagonal = cases[:, (np.arange(len(fresh)) - run) % 2 == 0]
-        words, errors = self.stretches(ids, item, diagonal)
-        for k in np.flatnonzero(words):
-            yield int(doc_ids[doc[k]]), int(self.item_ids[item[k]]), int(words[k]), int(errors[k])
-
-
-def blocks_of(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size; only one block is on the driver at a time."""
-    block, size = [], 0
-    for r in items.where("item_id is not null and text is not null").select("item_id", "text").distinct().toLocalIterator():
-        block.append((r[0], r[1]))
-        size += r[1].count(" ") + 1
-        if size >= BLOCK_WORDS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+        s, width = self.step, 2 * most + 1
+        shift = np.arange(-most, most + 1)
+        none = -(1 << 40)
+        far = np.full((len(p), width), none, np.int64)
+        ended = np.zeros((len(p), most + 1), np.int64)
+        far[:, most] = 0
+        for e in range(most + 1):
+            if e:
+                new = far + 1
+                new[:, :-1] = np.maximum(new[:, :-1], far[:, 1:] + 1)
+                new[:, 1:] = np.maximum(new[:, 1:], far[:, :-1])
+                new[new < 0] = none
+                far = new
+                ended[:, e] = ended[:, e - 1]
+            on = far >= 0
+            i = np.where(on, q[:, None] + s * (far + 1), -1)
+            j = np.where(on, p[:, None] + s * (far + shift + 1), -1)
+            far = np.where(on, far + self.slide(i, j), none)
+            self.last_match(p, q, far, shift, ended[:, e])
+        return ended
+
+
+def longest_stretch(doc: np.ndarray, item: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[int, int]:
+    """(words, errors) of the longest stretch of the item through any of the matching cells (p, q); 0 words if none.
+
+    A stretch begins and ends with a matching word, has at least LEAST words of
+    the item and at most one error for each PER_ERROR of them; altered and
+    left-out words count among the words of the item, added ones only as
+    errors. Of equally long ones that with the fewest errors counts. Both sides
+    of a cell are independent, so the result is exact for any lengths.
+    """
+    most = len(item) // PER_ERROR
+    # one cell for each run of matching words on a diagonal is enough
+    order = np.lexsort((q, p - q))
+    p, q = p[order].astype(np.int64), q[order].astype(np.int64)
+    back = _Walk(doc, item, -1).slide(q - 1, p - 1)
+    cells = np.unique(np.stack((p - back, q - back)), axis=1)
+    best = (0, 0)
+    for lo in range(0, cells.shape[1], max(1, CELLS // (2 * most + 1))):
+        a, b = cells[:, lo : lo + max(1, CELLS // (2 * most + 1))]
+        left, right = (_Walk(doc, item, s).reach(a, b, most) for s in (-1, 1))
+        for e in range(most + 1):
+            n = 1 + max(int((left[:, k] + right[:, e - k]).max()) for k in range(e + 1))
+            if n >= max(LEAST, PER_ERROR * e) and n > best[0]:
+                best = (n, e)
+    return best
+
+
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        doc_id, item_id, doc, item, p, q = b.columns
+        rows = []
+        for i in range(b.num_rows):
+            n, e = longest_stretch(*(c[i].values.to_numpy(zero_copy_only=False) for c in (doc, item, p, q)))
+            if n:
+                rows.append((doc_id[i].as_py(), item_id[i].as_py(), n, e))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "n_words", "n_errors"])
+
+
+def prints(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row per fingerprint: the keys, h, p and the words before and after."""
+    return rows.select(*keys, F.inline(F.arrays_zip("h", "p", "before", "after")))
 
 
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_words, n_errors): documents that hold a passage of an item.
 
     documents: doc_id, text; items: item_id, text; other columns are ignored.
-    The items are sent out in blocks of at most about two million words, and
-    each block is one pass over the documents, which need no shuffle whatever
-    their skew. n_words and n_errors are those of the longest passage. A null or
-    empty text holds nothing, items under 12 words are never found, repeated
-    documents each give a row, and empty tables give an empty result.
+    The corpus is read once, whatever the number of items; only its regions
+    dense in grams of items go on, by a filter of bounded size. Their
+    fingerprints are joined with those of the items by hash, where the word
+    before or after must agree too: of the run of four words that every passage
+    holds, a fingerprint covers three and one of those two is the fourth. So a
+    frequent gram does not meet all its like. n_words and n_errors are those of
+    the longest passage. A null or empty text holds nothing, items under 12
+    words are never found, repeated documents and items give one row, and empty
+    tables give an empty result.
     """
-    sc = documents.sparkSession.sparkContext
-    schema = "doc_id long, item_id long, n_words int, n_errors int"
-
-    def one(block: list[tuple[int, str]]) -> DataFrame:
-        shared = sc.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(shared.value)
-            for b in batches:
-                for lo in range(0, b.num_rows, 2000):
-                    part = b.slice(lo, 2000)
-                    rows = list(index.search(part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_pylist()))
-                    if rows:
-                        a = np.array(rows, np.int64).T
-                        yield pa.RecordBatch.from_arrays([pa.array(a[0]), pa.array(a[1]), pa.array(a[2].astype(np.int32)), pa.array(a[3].astype(np.int32))], ["doc_id", "item_id", "n_words", "n_errors"])
-
-        return documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
-
-    found = [one(b) for b in blocks_of(items)]
-    if not found:
-        return documents.sparkSession.createDataFrame([], schema)
-    best = F.max(F.struct("n_words", -F.col("n_errors")))
-    out = reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(best.alias("b"))
-    return out.select("doc_id", "item_id", "b.n_words", (-F.col("b.col2")).alias("n_errors"))
+    spark = documents.sparkSession
+    source = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
+    wanted, scratch = written(source.mapInArrow(item_rows, ITEM).withColumn("sig", F.xxhash64("words")), "items")
+    longest = wanted.agg(F.max(F.size("words"))).first()[0]
+    if not longest:
+        drop_path(spark, scratch)
+        return spark.createDataFrame([], "doc_id long, item_id long, n_words int, n_errors int")
+    reach = longest + longest // PER_ERROR + 1
+    shared = spark.sparkContext.broadcast(gram_filter(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filter_, bits = shared.value
+        hashes = WordHashes()
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                out = regions_of(part.column(0).to_numpy(zero_copy_only=False), [hashes.of(words_of(t)) for t in part.column(1).to_pylist()], filter_, bits, reach)
+                if out is not None and out.num_rows:
+                    yield out
+
+    texts = documents.where("doc_id is not null and text <> ''").select(F.col("doc_id").cast("long"), "text")
+    regions, _ = written(texts.mapInArrow(run, REGION).withColumn("sig", F.xxhash64("words")), "regions")
+    place = ["doc_id", "start", "sig"]
+    of_items = prints(wanted, "item_id", "sig").withColumnsRenamed({"sig": "item_sig", "p": "q", "before": "i_before", "after": "i_after"})
+    around = ((F.col("before") >= 0) & (F.col("before") == F.col("i_before"))) | ((F.col("after") >= 0) & (F.col("after") == F.col("i_after")))
+    hits = prints(regions, *place).join(broadcast_if_small(of_items), "h").where(around)
+    cells = hits.groupBy(*place, "item_id", "item_sig").agg(F.collect_set(F.struct("p", "q")).alias("at"))
+    both = cells.join(regions.select(*place, F.col("words").alias("doc")).dropDuplicates(place), place)
+    both = both.join(broadcast_if_small(wanted.select("item_id", F.col("sig").alias("item_sig"), F.col("words").alias("item")), 20_000), ["item_id", "item_sig"])
+    found = both.select("doc_id", "item_id", "doc", "item", "at.p", "at.q").mapInArrow(_extend, "doc_id long, item_id long, n_words int, n_errors int")
+    out = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_words", (-F.col("n_errors")).alias("e"))).alias("b"))
+    return out.select("doc_id", "item_id", "b.n_words", (-F.col("b.e")).alias("n_errors"))

@@ -22,8 +22,8 @@ from eavesgraph.session import broadcast_if_small
 
 #: The public vocabulary whose pieces are used.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Labelled documents that the probabilities are fitted on, at most so many a language.
-SAMPLE = 300
+#: Labelled documents that the probabilities are fitted on, at most so many a language, and the most letters of one.
+SAMPLE, SAMPLE_LETTERS = 300, 1_000_000
 #: Passes of expectation and maximisation over the piece counts.
 ROUNDS = 3
 #: A language belongs to a document from this share of its dialogue on.
@@ -69,6 +69,7 @@ class PieceModel:
     def __post_init__(self) -> None:
         self._index: dict[str, int] = {}
         self._rows: list[np.ndarray] = []
+        self._log: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
@@ -94,19 +95,28 @@ class PieceModel:
     def score(self, word: str) -> np.ndarray:
         """log of the summed probability of all segmentations, for each language.
 
-        The forward sums are kept as mantissas with a shared scale, so very
-        long words do not underflow.
+        The sums are taken as they are, and as logarithms where a language's
+        sum would come near the smallest number, so a word of any length has
+        its whole score.
         """
+        edges = self._edges(word)
         alpha = np.zeros((len(word) + 2, len(self.langs)))
         alpha[0] = 1.0
-        scale = np.zeros(len(word) + 2)
-        for i, j, k in self._edges(word):
-            p = self.prob[k] if k >= 0 else self.letter
-            alpha[j] += alpha[i] * p * np.exp(min(0.0, scale[i] - scale[j]))
-            if j == i + 1 and alpha[j].max() < 1e-250:
-                alpha[j] *= 1e250
-                scale[j] -= 250 * np.log(10)
-        return np.log(np.maximum(alpha[len(word) + 1], 1e-300)) + scale[len(word) + 1]
+        for i, j, k in edges:
+            alpha[j] += alpha[i] * (self.prob[k] if k >= 0 else self.letter)
+        if alpha[-1].min() > 1e-250:
+            return np.log(alpha[-1])
+        log, letter = self._log_prob(), np.log(self.letter)
+        alpha[:] = -np.inf
+        alpha[0] = 0.0
+        for i, j, k in edges:
+            np.logaddexp(alpha[j], alpha[i] + (log[k] if k >= 0 else letter), out=alpha[j])
+        return alpha[-1]
+
+    def _log_prob(self) -> np.ndarray:
+        if self._log is None:
+            self._log = np.log(self.prob)
+        return self._log
 
     def word_ids(self, words: list[str]) -> list[int]:
         index, out = self._index, []
@@ -114,14 +124,10 @@ class PieceModel:
             k = index.get(w)
             if k is None:
                 k = index[w] = len(self._rows)
-                self._rows.append(self.score(w) if len(w) <= 40 else self._long(w))
+                self._rows.append(self.score(w))
             out.append(k)
         return out
 
-    def _long(self, word: str) -> np.ndarray:
-        """A run of letters longer than any word: the mean score of its parts."""
-        return np.mean([self.score(word[i : i + 40]) for i in range(0, len(word), 40)], axis=0)
-
     def table(self) -> np.ndarray:
         return np.array(self._rows)
 
@@ -160,9 +166,13 @@ def fit(words: dict[str, Counter], pieces: list[str], rounds: int = ROUNDS) -> P
 
 
 def labelled_sample(documents: DataFrame, codes: DataFrame, sample: int = SAMPLE) -> list[tuple[str, str]]:
-    """(language, text) of at most ``sample`` labelled documents of each language, by a hash of doc_id."""
+    """(language, text) of at most ``sample`` labelled documents of each language, by a hash of doc_id.
+
+    Documents of more than SAMPLE_LETTERS letters are not picked, so what comes
+    to the driver is bounded in bytes too.
+    """
     known = broadcast_if_small(codes.select(F.col("label").alias("lang"), F.col("lang").alias("language")).dropDuplicates(["lang"]))
-    labelled = documents.where("text is not null").select("doc_id", "lang").join(known, "lang")
+    labelled = documents.where(F.length("text") <= SAMPLE_LETTERS).select("doc_id", "lang").join(known, "lang")
     by = Window.partitionBy("language").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = labelled.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= sample).select("doc_id", "language")
     rows = documents.select("doc_id", "text").join(broadcast_if_small(picked), "doc_id").select("language", "text").collect()
@@ -210,18 +220,30 @@ def shares(score: np.ndarray, size: np.ndarray, rounds: int = 12) -> tuple[np.nd
 
 
 def best_path(score: np.ndarray, pi: np.ndarray) -> np.ndarray:
-    """The likeliest language of each line, if neighbours tend to share theirs (Viterbi)."""
-    keep = np.flatnonzero(pi > 0.05)
-    if len(keep) < 2:
-        return np.full(len(score), int(pi.argmax()))
-    s = score[:, keep] + np.log(pi[keep])
-    step = np.where(np.eye(len(keep), dtype=bool), STAY, CHANGE)
+    """The likeliest language of each line, if neighbours tend to share theirs (Viterbi).
+
+    Every language takes part, however small its share. Two exact shortcuts:
+    against the language c that is best for all lines as one, a language that
+    gains on no stretch of lines is on no best path; and if none gains more
+    than half the price of a change, c is best throughout.
+    """
+    s = score + np.log(np.maximum(pi, 1e-300))
+    c = int(s.sum(0).argmax())
+    total = np.cumsum(s - s[:, [c]], axis=0)
+    low = np.minimum.accumulate(np.concatenate((np.zeros((1, s.shape[1])), total[:-1])), axis=0)
+    gain = (total - low).max(0)
+    if gain.max() <= (STAY - CHANGE) / 2:
+        return np.full(len(s), c)
+    keep = np.flatnonzero((gain > 0) | (np.arange(s.shape[1]) == c))
+    s = s[:, keep]
     back = np.zeros(s.shape, np.int64)
     total = s[0]
     for t in range(1, len(s)):
-        way = total[:, None] + step
-        back[t] = way.argmax(0)
-        total = way.max(0) + s[t]
+        best = int(total.argmax())
+        stay, move = total + STAY, total[best] + CHANGE
+        own = stay >= move
+        back[t] = np.where(own, np.arange(len(keep)), best)
+        total = np.where(own, stay, move) + s[t]
     path = [int(total.argmax())]
     for t in range(len(s) - 1, 0, -1):
         path.append(int(back[t, path[-1]]))

@@ -64,15 +64,20 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaked(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("n_words").alias("longest"))
 
 
+def _vocabulary(spark: SparkSession) -> str:
+    """The vocabulary file; ``spark.eavesgraph.vocabulary`` names another."""
+    return spark.conf.get("spark.eavesgraph.vocabulary", languages.VOCABULARY)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     documents, codes = table(spark, d, "documents"), table(spark, d, "lang_codes")
-    found = languages.document_languages(languages.language_segments(documents, codes))
+    found = languages.document_languages(languages.language_segments(documents, codes, _vocabulary(spark)))
     return languages.label_faults(documents, codes, found)
 
 
 def p8_segments(spark: SparkSession, d: str) -> DataFrame:
     """Stretches of one language in every document, with their confidence."""
-    return languages.language_segments(table(spark, d, "documents"), table(spark, d, "lang_codes"))
+    return languages.language_segments(table(spark, d, "documents"), table(spark, d, "lang_codes"), _vocabulary(spark))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_neighbours, p6_found, p6_containers, p6_report, p7_found, p7_items, p8_found, p8_segments)}

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Queries that move through the graph together.
-BATCH = 1024
+BATCH = 512
 
 
 def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -21,12 +21,18 @@ def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Graph:
-    """Neighbour lists over distinct vectors; see build()."""
+    """Neighbour lists over distinct vectors; see build().
 
-    def __init__(self, x: np.ndarray, degree: int = 16, beam: int = 32, alpha: float = 1.2, expand: int = 4):
+    degree: edges that pruning keeps (lists may hold twice as many until they
+    are pruned again); beam: width of the searches while building; expand: nodes
+    of the beam that are opened at once; trace: nodes passed on the way that are
+    prune candidates besides the beam.
+    """
+
+    def __init__(self, x: np.ndarray, degree: int = 12, beam: int = 16, alpha: float = 1.2, expand: int = 4, trace: int = 16):
         self.x = np.ascontiguousarray(x, np.float32)
         n = len(x)
-        self.degree, self.room, self.beam, self.alpha, self.expand = degree, 2 * degree, beam, alpha, expand
+        self.degree, self.room, self.beam, self.alpha, self.expand, self.trace = degree, 2 * degree, beam, alpha, expand, trace
         self.out = np.full((n, self.room), -1, np.int32)
         self.count = np.zeros(n, np.int32)
         self.start = int(_square(self.x, self.x.mean(0)).argmin()) if n else 0
@@ -113,9 +119,9 @@ class Graph:
         dist = np.full((b, beam), np.inf, np.float32)
         open_ = np.zeros((b, beam), bool)
         ids[:, 0], dist[:, 0], open_[:, 0] = self.start, _square(self.x[self.start], q), True
-        seen = np.zeros((b, n + 1), bool)
-        seen[:, self.start] = seen[:, n] = True
-        passed = np.full((b, 16 if trace else 0), -1, np.int32)
+        seen, tag = np.zeros(b * n, bool), np.empty(b * n, np.int32)
+        seen[np.arange(b) * n + self.start] = True
+        passed = np.full((b, self.trace if trace else 0), -1, np.int32)
         filled, live = 0, np.arange(b)
         while len(live):
             e = min(self.expand, beam)
@@ -133,22 +139,26 @@ class Graph:
                 passed[live, filled : filled + w] = node[:, :w]
                 filled += w
             near = np.where(node[:, :, None] >= 0, self.out[node], -1).reshape(len(live), -1)
-            near.sort(axis=1)
-            near[near < 0] = n
-            near[:, 1:][near[:, 1:] == near[:, :-1]] = n
-            near[seen[live[:, None], near]] = n
-            near.sort(axis=1)
-            near = near[:, : max(1, int((near < n).sum(1).max()))]
-            seen[live[:, None], near] = True
-            fresh = near < n
-            d = np.full(near.shape, np.inf, np.float32)
-            r, c = np.nonzero(fresh)
-            d[r, c] = _square(self.x[near[r, c]], q[live[r]])
-            all_d = np.concatenate((dist[live], d), 1)
-            best = np.argpartition(all_d, beam - 1, axis=1)[:, :beam]
-            ids[live] = np.take_along_axis(np.concatenate((ids[live], np.where(fresh, near, -1).astype(np.int32)), 1), best, 1)
-            open_[live] = np.take_along_axis(np.concatenate((open_[live], fresh), 1), best, 1)
-            dist[live] = np.take_along_axis(all_d, best, 1)
+            row, col = np.nonzero(near >= 0)
+            near = near[row, col]
+            key = live[row] * n + near
+            new = ~seen[key]
+            row, near, key = row[new], near[new], key[new]
+            seen[key] = True
+            mark = np.arange(len(key), dtype=np.int32)
+            tag[key] = mark
+            once = tag[key] == mark
+            row, near = row[once], near[once]
+            some = np.bincount(row, minlength=len(live))
+            slot = np.arange(len(row)) - np.repeat(np.cumsum(some) - some, some)
+            d = np.full((len(live), beam + int(some.max(initial=0))), np.inf, np.float32)
+            node = np.full(d.shape, -1, np.int32)
+            fresh = np.zeros(d.shape, bool)
+            d[:, :beam], node[:, :beam], fresh[:, :beam] = dist[live], ids[live], open_[live]
+            at = row, beam + slot
+            d[at], node[at], fresh[at] = _square(self.x[near], q[live[row]]), near, True
+            best = np.argpartition(d, beam - 1, axis=1)[:, :beam]
+            ids[live], open_[live], dist[live] = (np.take_along_axis(v, best, 1) for v in (node, fresh, d))
         order = np.argsort(dist, axis=1, kind="stable")
         return np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1), passed
 
@@ -165,6 +175,24 @@ class ShardIndex:
         self.first = np.searchsorted(group[by], np.arange(len(self.x) + 1))
         self.graph = Graph(self.x, **settings).build()
 
+    def stored(self) -> tuple[int, int, bytes, bytes, bytes, bytes, bytes]:
+        """(dimensions, start, ids, vectors, first id of each node, edges of each node, edges) to write down; see load()."""
+        g = self.graph
+        edges = g.out[g.out >= 0]
+        return self.x.shape[1], g.start, self.ids.tobytes(), self.x.tobytes(), self.first.tobytes(), (g.out >= 0).sum(1).astype(np.uint8).tobytes(), edges.tobytes()
+
+    @classmethod
+    def load(cls, dims: int, start: int, ids: bytes, x: bytes, first: bytes, count: bytes, edges: bytes) -> "ShardIndex":
+        self = cls.__new__(cls)
+        self.ids, self.first = np.frombuffer(ids, np.int64), np.frombuffer(first, np.int64)
+        self.x = np.frombuffer(x, np.float64).reshape(-1, dims)
+        self.graph = g = Graph(self.x[:0])
+        n = np.frombuffer(count, np.uint8).astype(np.int64)
+        g.x, g.start = np.ascontiguousarray(self.x, np.float32), start
+        g.out = np.full((len(self.x), int(n.max(initial=1))), -1, np.int32)
+        g.out[np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = np.frombuffer(edges, np.int32)
+        return self
+
     def nearest(self, q: np.ndarray, own: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, id, squared distance) of the k nearest of each query but itself; ties by id."""
         if not len(self.x) or not len(q):

@@ -42,8 +42,12 @@ def p3_monthly(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The record lines that the consolidation did not keep."""
-    files = table(spark, d, "tiny_files")
-    return compaction.surplus_of(files, compaction.consolidate(files, scratch_path(spark, "compacted")))
+    return compaction.surplus_of(compaction.consolidate(table(spark, d, "tiny_files"), scratch_path(spark, "compacted")))
+
+
+def p5_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """Landing partitions with at least eight small files."""
+    return compaction.landing_partitions(table(spark, d, "tiny_files")).where("n_small >= 8")
 
 
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +56,7 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return made.read().select("kind", "frame_id", F.col("point_id").cast("long").alias("point_id"), "x", "y", "z", "file_id", "line_no")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_points, p1_vertices, p1_reject_counts, p3_found, p3_monthly, p5_found, p5_records)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_points, p1_vertices, p1_reject_counts, p3_found, p3_monthly, p5_found, p5_partitions, p5_records)}
 
 _LINES = """WITH t AS (SELECT *, trim(raw, E' \\t\\r\\n') AS s FROM source_lines),
 r AS (SELECT *, string_split_regex(s, '[ \\t]+') AS a FROM t WHERE s <> '' AND NOT starts_with(s, '#')),
@@ -93,5 +97,6 @@ ORACLE = {
     "p3_found": _ORPHANS + "SELECT DISTINCT ref_table, row_id, ref_col, state FROM o WHERE state IS NOT NULL",
     "p3_monthly": _ORPHANS + "SELECT ref_table, ref_col, strftime(date_trunc('month', loaded_at AT TIME ZONE 'UTC'), '%Y-%m') AS month, state, count(*) AS n_refs FROM o WHERE state IS NOT NULL GROUP BY ALL",
     "p5_found": _RECORDS + "SELECT file_id, CAST(line_no AS INTEGER) AS line_no FROM k WHERE rn > 1",
+    "p5_partitions": "SELECT kind, lower(trim(coalesce(frame_id, split_part(file_path, '/', 3)))) AS frame_id, count(*) AS n_files, count(*) AS n_small, CAST(sum(strlen(coalesce(body, ''))) AS BIGINT) AS n_bytes FROM tiny_files GROUP BY 1, 2 HAVING count(*) >= 8",
     "p5_records": _RECORDS + "SELECT kind, frame_id, CAST(p AS BIGINT) AS point_id, x, y, z, file_id, CAST(line_no AS INTEGER) AS line_no FROM k WHERE rn = 1",
 }

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,8 +50,33 @@ def scratch_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Scratch tables of the open scopes, innermost last; see scratch_scope().
+_SCOPES: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    for scope in _SCOPES[-1:]:
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end whatever scratch tables were made inside.
+
+    Operators give frames that still read their scratch tables, so the result
+    has to be written or collected within the scope::
+
+        with scratch_scope(spark):
+            operator(df).write.parquet(target)
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            drop_path(spark, path)
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:

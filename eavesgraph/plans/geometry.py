@@ -330,7 +330,7 @@ def kmeans_clusters(spark, d):
 
 GRID = 0.01
 _Q = "lo AS (SELECT frame_id, min(x) AS lx, min(y) AS ly, min(z) AS lz FROM c GROUP BY 1), q AS (SELECT c.*, CAST(floor((x-lx)/{g}) AS BIGINT) AS gx, CAST(floor((y-ly)/{g}) AS BIGINT) AS gy, CAST(floor((z-lz)/{g}) AS BIGINT) AS gz FROM c JOIN lo USING (frame_id))"
-_Z = "(" + " | ".join(f"((({c} >> {i}) & 1) << {3 * i + at})" for i in range(16) for c, at in (("gx", 2), ("gy", 1), ("gz", 0))) + ")"
+_Z = "(" + " | ".join(f"((({c} >> {i}) & 1) << {3 * i + at})" for i in range(21) for c, at in (("gx", 2), ("gy", 1), ("gz", 0))) + ")"
 
 
 @query(f"WITH {_C}, {_Q.format(g=GRID)} SELECT frame_id, point_id, {_Z} AS code FROM q")
@@ -339,7 +339,7 @@ def zorder_encode(spark, d):
     return q.select("frame_id", "point_id", curves.morton(F.col("gx"), F.col("gy"), F.col("gz")).alias("code"))
 
 
-@query(f"WITH {_C}, {_Q.format(g=GRID)} SELECT frame_id, point_id, gx & 65535 AS gx, gy & 65535 AS gy, gz & 65535 AS gz FROM q")
+@query(f"WITH {_C}, {_Q.format(g=GRID)} SELECT frame_id, point_id, gx, gy, gz FROM q")
 def zorder_decode(spark, d):
     got = curves.from_morton(F.col("code"))
     return zorder_encode(spark, d).select("frame_id", "point_id", *[got[c].alias(f"g{c}") for c in XYZ])
@@ -361,18 +361,53 @@ def patch_assign(spark, d):
     return order.patches(order.serialise(points(spark, d), GRID), 128)
 
 
-@query()
+def _hilbert_sql(source: str, depth: int, x: str = "gx", y: str = "gy") -> str:
+    """CTEs that end in hc(frame_id, point_id, code): the transform bit by bit over the rows of ``source``."""
+    steps, at = [f"h0 AS (SELECT frame_id, point_id, {x} AS x, {y} AS y, gz AS z FROM {source})"], 0
+    for bit in (1 << b for b in range(depth - 1, 0, -1)):
+        for c in "xyz":
+            swap = "0" if c == "x" else f"(CASE WHEN {c} & {bit} <> 0 THEN 0 ELSE xor(x, {c}) & {bit - 1} END)"
+            moved = {k: k for k in "xyz"} | ({} if c == "x" else {c: f"xor({c}, {swap})"}) | {"x": f"xor(x, CASE WHEN {c} & {bit} <> 0 THEN {bit - 1} ELSE {swap} END)"}
+            steps.append(f"h{at + 1} AS (SELECT frame_id, point_id, " + ", ".join(f"{v} AS {k}" for k, v in moved.items()) + f" FROM h{at})")
+            at += 1
+    turn = "0"
+    for bit in (1 << b for b in range(1, depth)):
+        turn = f"xor({turn}, CASE WHEN z & {bit} <> 0 THEN {bit - 1} ELSE 0 END)"
+    steps.append(f"g1 AS (SELECT frame_id, point_id, x, xor(x, y) AS y, xor(xor(x, y), z) AS z FROM h{at}), g2 AS (SELECT *, {turn} AS t FROM g1)")
+    steps.append(f"g3 AS (SELECT frame_id, point_id, xor(x, t) AS gx, xor(y, t) AS gy, xor(z, t) AS gz FROM g2), hc AS (SELECT frame_id, point_id, {_Z} AS code FROM g3)")
+    return ", ".join(steps)
+
+
+@query(f"WITH {_C}, {_Q.format(g=GRID)}, {_hilbert_sql('q', 21)} SELECT * FROM hc")
 def hilbert_encode(spark, d):
     q = order.quantise(points(spark, d), GRID)
     return q.select("frame_id", "point_id", curves.encode("hilbert", F.col("gx"), F.col("gy"), F.col("gz")).alias("code"))
 
 
-@query(f"WITH {_C}, {_Q.format(g=GRID)} SELECT frame_id, point_id, gx & 65535 AS gx, gy & 65535 AS gy, gz & 65535 AS gz FROM q")
+@query(f"WITH {_C}, {_Q.format(g=GRID)}, {_hilbert_sql('q', 21, 'gy', 'gx')} SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY code, point_id) - 1 AS position FROM hc")
+def serialize_hilbert_trans(spark, d):
+    return order.serialise(points(spark, d), GRID, "hilbert-trans")
+
+
+@query(f"WITH {_C}, {_Q.format(g=GRID)} SELECT frame_id, point_id, gx, gy, gz FROM q")
 def hilbert_roundtrip(spark, d):
     """Coordinates got back from their Hilbert codes."""
-    q = order.quantise(points(spark, d), GRID).withColumns({f"g{c}": F.col(f"g{c}").bitwiseAND(F.lit(65535).cast("long")) for c in XYZ})
-    code = q.select("frame_id", "point_id", curves.hilbert("gx", "gy", "gz").alias("code"))
-    return code.withColumn("p", curves.from_hilbert("code")).select("frame_id", "point_id", *[F.col(f"p.{c}").alias(f"g{c}") for c in XYZ])
+    q = order.quantise(points(spark, d), GRID)
+    code = q.select("frame_id", "point_id", curves.hilbert(*[F.col(f"g{c}") for c in XYZ]).alias("code"))
+    got = curves.from_hilbert(F.col("code"))
+    return code.select("frame_id", "point_id", *[got[c].alias(f"g{c}") for c in XYZ])
+
+
+@query(f"""WITH {_C}, {_Q.format(g=0.25)}, m AS (SELECT ceil(log2(max(greatest(gx, gy, gz)) + 1))::INTEGER AS depth FROM q), b AS (SELECT frame_id, row_number() OVER (ORDER BY frame_id) - 1 AS batch FROM (SELECT DISTINCT frame_id FROM c)),
+z AS (SELECT frame_id, point_id, {_Z.replace('gx', 'gt').replace('gy', 'gx').replace('gt', 'gy')} AS code FROM q) SELECT z.frame_id, point_id, (batch << (3 * depth)) | code AS code FROM z JOIN b USING (frame_id), m""")
+def batch_codes(spark, d):
+    """z-trans codes with the number of the frame above them, at the depth that the data need."""
+    q = order.quantise(points(spark, d), 0.25)
+    offsets = order.frame_offsets(q).select("frame_id")
+    numbered = order.row_numbers(offsets.withColumn("_all", F.lit(0)), ["_all"], ["frame_id"], "batch").select("frame_id", "batch")
+    depth = curves.data_depth(q)
+    code = curves.encode("z-trans", F.col("gx"), F.col("gy"), F.col("gz"), depth, F.col("batch"), 63 - 3 * depth)
+    return q.join(numbered, "frame_id").select("frame_id", "point_id", code.alias("code"))
 
 
 @query("SELECT DISTINCT frame_id, point_id, xor(point_id, point_id >> 1) AS gray, point_id AS back FROM points")

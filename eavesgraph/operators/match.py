@@ -77,15 +77,21 @@ def within(matches: DataFrame, radius: float) -> DataFrame:
     return matches.where(F.col("dist") < radius)
 
 
-def frame_counters(predicted: DataFrame, truth: DataFrame, edges: DataFrame, scores: DataFrame, radius: float = 0.1, threshold: float = 0.5) -> DataFrame:
+def frame_counters(predicted: DataFrame, truth: DataFrame, edges: DataFrame, scores: DataFrame, radius: float = 0.1, threshold: float = 0.5, cubes: DataFrame | None = None) -> DataFrame:
     """Per frame: tp_points, n_pred_points, n_label_points, tp_edges, n_pred_edges, n_label_edges and summed biases.
 
+    cubes: frame_id, cube_min, cube_max of clouds whose corners come scaled by
+    them; biases are then in the units of the cloud.
+
     scores: frame_id, i, j (predicted corner ids, i < j), score. A predicted
     edge counts if both its corners were assigned, whatever their distance.
     """
     m = match_corners(predicted, truth, 1e-6)
     hit = within(m, radius).join(predicted.select("frame_id", "corner_id", *[F.col(c).alias(f"p{c}") for c in XYZ]), ["frame_id", "corner_id"]).join(truth.select("frame_id", "vertex_id", *[F.col(c).alias(f"t{c}") for c in XYZ]), ["frame_id", "vertex_id"])
     points = hit.groupBy("frame_id").agg(F.count("*").alias("tp_points"), *[F.sum(F.abs(F.col(f"p{c}") - F.col(f"t{c}"))).alias(f"bias_{c}") for c in XYZ])
+    if cubes is not None:
+        span = cubes.select("frame_id", (F.col("cube_max") - F.col("cube_min")).alias("_span"))
+        points = points.join(span, "frame_id", "left").withColumns({f"bias_{c}": F.col(f"bias_{c}") * F.col("_span") for c in XYZ}).drop("_span")
     end = lambda c: m.select("frame_id", F.col("corner_id").alias(c), F.col("vertex_id").alias(f"{c}v"))
     e = scores.where(F.col("score") > threshold).join(end("i"), ["frame_id", "i"]).join(end("j"), ["frame_id", "j"])
     e = e.select("frame_id", F.least("iv", "jv").alias("i"), F.greatest("iv", "jv").alias("j"))

@@ -33,15 +33,25 @@ def denormalise(points: DataFrame, stats: DataFrame) -> DataFrame:
     return j.withColumns({c: F.col(c) * F.col("max_distance") + F.col(f"c{c}") for c in XYZ}).drop("cx", "cy", "cz", "max_distance")
 
 
-def unit_box(points: DataFrame) -> DataFrame:
-    """Centre on the mean and divide by the largest absolute coordinate (1 if that is 0)."""
+def box_stats(points: DataFrame) -> DataFrame:
+    """(frame_id, cx, cy, cz, scale): the mean and the largest absolute coordinate about it (1 if that is 0)."""
     mean = points.groupBy("frame_id").agg(*[F.avg(c).alias(f"c{c}") for c in XYZ], *[F.min(c).alias(f"lo{c}") for c in XYZ], *[F.max(c).alias(f"hi{c}") for c in XYZ])
     scale = F.greatest(*[F.greatest(F.col(f"hi{c}") - F.col(f"c{c}"), F.col(f"c{c}") - F.col(f"lo{c}")) for c in XYZ])
-    mean = mean.select("frame_id", "cx", "cy", "cz", F.when(scale == 0, 1.0).otherwise(scale).alias("scale"))
-    j = points.join(mean, "frame_id")
+    return mean.select("frame_id", "cx", "cy", "cz", F.when(scale == 0, 1.0).otherwise(scale).alias("scale"))
+
+
+def unit_box(points: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """Centre on the mean and divide by the largest absolute coordinate."""
+    j = points.join(box_stats(points) if stats is None else stats, "frame_id")
     return j.withColumns({c: (F.col(c) - F.col(f"c{c}")) / F.col("scale") for c in XYZ}).drop("cx", "cy", "cz", "scale")
 
 
+def from_unit_box(points: DataFrame, stats: DataFrame) -> DataFrame:
+    """The inverse of unit_box() with the stats it used."""
+    j = points.join(stats, "frame_id")
+    return j.withColumns({c: F.col(c) * F.col("scale") + F.col(f"c{c}") for c in XYZ}).drop("cx", "cy", "cz", "scale")
+
+
 def cube_scale(points: DataFrame, stats: DataFrame) -> DataFrame:
     """Scale all axes by one minimum and maximum."""
     j = points.join(stats.select("frame_id", "cube_min", "cube_max"), "frame_id")
@@ -86,10 +96,20 @@ def augment(df: DataFrame, seed: int = 0, limit: float = 3.141592653589793 / 36)
 
 
 def jitter(df: DataFrame, sigma: tuple[float, float] = (0.005, 0.010), clip: float = 10.0, share: float = 0.8, seed: int = 0) -> DataFrame:
-    """Add clipped normal noise to xyz of a share of the frames; sigma is drawn for each frame."""
+    """Add clipped normal noise to xyz of a share of the frames; sigma is drawn for each frame, other columns stay.
+
+    Draws depend on the frame, the point, the axis and the seed only (Box-Muller
+    over md5), so a repeated task gives the same points.
+    """
     s = F.lit(sigma[0]) + frame_draw("sigma", seed) * (sigma[1] - sigma[0])
-    noise = lambda k: F.least(F.greatest(F.randn(seed + k) * s, F.lit(-clip)), F.lit(clip))
-    return df.withColumns({c: F.when(frame_draw("jitter", seed) < share, F.col(c) + noise(k)).otherwise(F.col(c)) for k, c in enumerate(XYZ)})
+
+    def noise(axis: str) -> Column:
+        digest = F.md5(F.concat_ws("|", F.col("frame_id"), F.col("point_id").cast("string"), F.lit(axis), F.lit(seed)).cast("binary"))
+        u, v = ((F.conv(F.substring(digest, at, 8), 16, 10).cast("double") + 1) / F.lit(4294967297.0) for at in (1, 9))
+        normal = F.sqrt(-2 * F.ln(u)) * F.cos(v * (2 * 3.141592653589793))
+        return F.least(F.greatest(normal * s, F.lit(-clip)), F.lit(clip))
+
+    return df.withColumns({c: F.when(frame_draw("jitter", seed) < share, F.col(c) + noise(c)).otherwise(F.col(c)) for c in XYZ})
 
 
 def running_offsets(df: DataFrame, by: list[str], order: list[str], n: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +79,28 @@ def voxel_neighbours(points: DataFrame, grid: float, reach: int = 1) -> DataFram
     return v.join(hit, ["frame_id", "gx", "gy", "gz"], "left").select("frame_id", "gx", "gy", "gz", F.coalesce("n", F.lit(0)).cast("long").alias("n_neighbours"))
 
 
+def voxel_groups(points: DataFrame, grid: float, shift: int = 0) -> DataFrame:
+    """(frame_id, point_id, group_id, n_points): the number from 0 of the point's voxel among those of its frame, in order of code, and its points."""
+    q = quantise(points, grid)
+    coded = q.select("frame_id", "point_id", F.shiftright(curves.morton(F.col("gx"), F.col("gy"), F.col("gz")), 3 * shift).alias("voxel"))
+    groups = row_numbers(coded.groupBy("frame_id", "voxel").agg(F.count("*").alias("n_points")), ["frame_id"], ["voxel"], "group_id")
+    return coded.join(groups, ["frame_id", "voxel"]).select("frame_id", "point_id", "group_id", "n_points")
+
+
+def relative_positions(serial: DataFrame, points: DataFrame, grid: float, size: int) -> DataFrame:
+    """(frame_id, patch, a, b, dx, dy, dz): grid steps from slot b to slot a for all pairs of slots of a patch of ``size``."""
+    q = quantise(points, grid).select("frame_id", "point_id", "gx", "gy", "gz")
+    p = patches(serial, size).join(q, ["frame_id", "point_id"]).select("frame_id", "patch", "slot", "gx", "gy", "gz")
+    a, b = (p.select("frame_id", "patch", F.col("slot").alias(n), *[F.col(f"g{c}").alias(f"{n}{c}") for c in XYZ]) for n in "ab")
+    return a.join(b, ["frame_id", "patch"]).select("frame_id", "patch", "a", "b", *[(F.col(f"a{c}") - F.col(f"b{c}")).alias(f"d{c}") for c in XYZ])
+
+
+def counts_of(offsets: DataFrame, by: list[str], order: list[str], offset: str = "offset") -> DataFrame:
+    """Add ``count``: each running total less the one before it (0 for the first)."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return offsets.withColumn("count", F.col(offset) - F.coalesce(F.lag(offset).over(w), F.lit(0)))
+
+
 def frame_offsets(points: DataFrame) -> DataFrame:
     """(frame_id, n_points, offset): rows of each frame and of those before it by frame_id.
 
@@ -93,3 +117,37 @@ def frame_offsets(points: DataFrame) -> DataFrame:
 def haar_levels(value: Column, by: list[str], position: str, levels: int = 3) -> list[Column]:
     """Mean of the block of 2^level rows along the position that a row lies in (approximation of a db1 wavelet, up to scale)."""
     return [F.avg(value).over(Window.partitionBy(*by, F.floor(F.col(position) / 2**k))).alias(f"approx_{k}") for k in range(1, levels + 1)]
+
+
+def haar_transform(df: DataFrame, value: str, position: str, levels: int = 3) -> DataFrame:
+    """Coefficients of the db1 wavelet along the positions of each frame: (frame_id, level, k, approx, detail).
+
+    Level 1 joins the rows 2k and 2k + 1: approx is their sum and detail their
+    difference over the root of 2; the next level does so with the approximations.
+    A row without a partner is met by itself. Each level is an aggregate, so a frame is spread over tasks.
+    """
+    cur, out = df.select("frame_id", F.col(position).cast("long").alias("k"), F.col(value).alias("approx")), []
+    for level in range(1, levels + 1):
+        even = F.col("k") % 2 == 0
+        pair = cur.groupBy("frame_id", F.floor(F.col("k") / 2).alias("k")).agg(F.max(F.when(even, F.col("approx"))).alias("a"), F.max(F.when(~even, F.col("approx"))).alias("b"))
+        b = F.coalesce("b", "a")
+        cur = pair.select("frame_id", "k", ((F.col("a") + b) / F.sqrt(F.lit(2.0))).alias("approx"), ((F.col("a") - b) / F.sqrt(F.lit(2.0))).alias("detail"))
+        cur, _ = written(cur, "level")
+        out.append(cur.select("frame_id", F.lit(level).alias("level"), "k", "approx", "detail"))
+        cur = cur.select("frame_id", "k", "approx")
+    return reduce(DataFrame.unionByName, out)
+
+
+def upsampled(coefficients: DataFrame, level: int, positions: DataFrame, position: str = "pos", column: str = "approx") -> DataFrame:
+    """(frame_id, position, value): a level of haar_transform() drawn out linearly to the rows' positions, its ends held.
+
+    The coefficient k stands at the middle of its 2^level rows.
+    """
+    c = coefficients.where(F.col("level") == level).select("frame_id", "k", F.col(column).alias("v"))
+    last = c.groupBy("frame_id").agg(F.max("k").alias("last"))
+    x = (F.col(position) + 0.5) / F.lit(float(2**level)) - 0.5
+    p = positions.select("frame_id", position).join(last, "frame_id").withColumn("x", F.greatest(F.lit(0.0), F.least(x, F.col("last").cast("double"))))
+    p = p.withColumns({"k0": F.floor("x"), "k1": F.least(F.floor("x") + 1, F.col("last"))})
+    at = lambda n: c.select("frame_id", F.col("k").alias(f"k{n}"), F.col("v").alias(f"v{n}"))
+    j = p.join(at(0), ["frame_id", "k0"]).join(at(1), ["frame_id", "k1"])
+    return j.select("frame_id", position, (F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("x") - F.col("k0"))).alias("value"))

@@ -45,14 +45,14 @@ def radius_pairs(queries: DataFrame, targets: DataFrame, radius: float, q_key: s
     return near.where(F.col("d2") <= r2 if inclusive else F.col("d2") < r2).select("frame_id", "query_id", "target_id", "d2")
 
 
-def first_in_ball(queries: DataFrame, targets: DataFrame, radius: float, nsample: int, q_key: str = "vertex_id", t_key: str = "point_id", keep_empty: bool = False, fill: bool = False) -> DataFrame:
+def first_in_ball(queries: DataFrame, targets: DataFrame, radius: float, nsample: int, q_key: str = "vertex_id", t_key: str = "point_id", keep_empty: bool = False, fill: bool = False, inclusive: bool = False) -> DataFrame:
     """(frame_id, query_id, slot, target_id): the first nsample targets in order of id, not of distance.
 
     keep_empty: a query without hits gives one row with a null target. fill:
-    short lists are filled up with their first hit.
+    short lists are filled up with their first hit. inclusive: targets at the radius count.
     """
     w = Window.partitionBy("frame_id", "query_id").orderBy("target_id")
-    hits = radius_pairs(queries, targets, radius, q_key, t_key).withColumn("slot", F.row_number().over(w) - 1).where(F.col("slot") < nsample).select("frame_id", "query_id", "slot", "target_id")
+    hits = radius_pairs(queries, targets, radius, q_key, t_key, inclusive).withColumn("slot", F.row_number().over(w) - 1).where(F.col("slot") < nsample).select("frame_id", "query_id", "slot", "target_id")
     if fill:
         agg = hits.groupBy("frame_id", "query_id").agg(F.min("target_id").alias("first"), F.count("*").alias("n"))
         pad = agg.where(F.col("n") < nsample).select("frame_id", "query_id", F.explode(F.sequence(F.col("n").cast("int"), F.lit(nsample - 1))).alias("slot"), F.col("first").alias("target_id"))

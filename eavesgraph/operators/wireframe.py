@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,26 @@ def merged_edges(parts: DataFrame, offsets: DataFrame) -> DataFrame:
     return j.select("frame_id", (F.col("src") + F.col("offset")).alias("src"), (F.col("dst") + F.col("offset")).alias("dst"))
 
 
+def merged_vertices(vertices: DataFrame, membership: DataFrame, offsets: DataFrame) -> DataFrame:
+    """(frame_id, vertex_id, x, y, z): the vertices of the clusters with the ids of the merged wireframe; none are joined."""
+    w = Window.partitionBy("frame_id", "cluster_id").orderBy("vertex_id")
+    local = membership.select("frame_id", "cluster_id", "vertex_id", (F.row_number().over(w) - 1).alias("local"))
+    j = local.join(offsets.select("frame_id", "cluster_id", "offset"), ["frame_id", "cluster_id"]).join(vertices.select("frame_id", "vertex_id", *XYZ), ["frame_id", "vertex_id"])
+    return j.select("frame_id", (F.col("local") + F.col("offset")).alias("vertex_id"), *XYZ)
+
+
+def distinct_colors(clusters: DataFrame, by: str = "frame_id", key: str = "cluster_id") -> DataFrame:
+    """(by, key, r, g, b): hues at even steps from 0 to 360 over the clusters of a group in order, both ends red-most, as whole numbers."""
+    w = Window.partitionBy(by).orderBy(key)
+    n = clusters.select(by, key).distinct().withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(by))})
+    h = F.when(F.col("_n") > 1, F.col("_i") * 360.0 / (F.col("_n") - 1)).otherwise(F.lit(0.0)) / 60.0
+    x = F.floor((1 - F.abs(h % 2 - 1)) * 255).cast("int")
+    full, none = F.lit(255), F.lit(0)
+    shades = [(full, x, none), (x, full, none), (none, full, x), (none, x, full), (x, none, full), (full, none, x)]
+    pick = lambda k: reduce(lambda other, i: F.when(h < i + 1, shades[i][k]).otherwise(other), range(4, -1, -1), shades[5][k])
+    return n.select(by, key, *[pick(k).alias(c) for k, c in enumerate("rgb")])
+
+
 def prefer_clusters(originals: DataFrame, merged: DataFrame) -> DataFrame:
     """Frames of ``merged`` win over originals with the same frame_id."""
     return originals.join(merged.select("frame_id").distinct(), "frame_id", "left_anti").unionByName(merged)

@@ -1,4 +1,4 @@
 """Registered queries and their SQL counterparts."""
 
 #: Modules of this package that hold QUERIES and ORACLE.
-MODULES = ("geometry", "files", "dealt")
+MODULES = ("geometry", "pipelines", "files", "dealt")

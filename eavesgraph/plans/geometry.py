@@ -151,11 +151,6 @@ def mirror_rotate_z(spark, d):
     return rounded(normalise.augment(points(spark, d)), *XYZ)
 
 
-@query()
-def gaussian_jitter(spark, d):
-    return normalise.jitter(points(spark, d))
-
-
 # --- spatial joins ---------------------------------------------------------
 
 

@@ -6,9 +6,11 @@ import io
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eavesgraph.operators.order import row_numbers
+
 CHANNELS = ("x", "y", "z", "r", "g", "b", "nir", "intensity")
 
 
@@ -23,13 +25,24 @@ def folder(path: Column | str) -> Column:
 
 
 def cluster_name(path: Column | str) -> dict[str, Column]:
-    """id, cluster number and whether it is a cluster, of names like ``city_<id>_cluster_<n>.obj``."""
-    parts = F.split(stem(path), "_")
-    is_cluster = F.array_contains(parts, "cluster")
-    return {"id": F.try_element_at(parts, F.lit(2)), "is_cluster": is_cluster, "cluster_id": F.when(is_cluster, F.element_at(parts, -1).try_cast("int"))}
+    """id, cluster number and whether it is a cluster, of names like ``city_<id>_cluster_<n>.obj`` or ``city_<id>_original.obj``."""
+    name = stem(path)
+    number = F.regexp_extract(name, "_cluster_([0-9]+)$", 1)
+    return {"id": F.regexp_extract(name, "^[^_]*_(.*?)(_cluster_[0-9]+|_original)?$", 1), "is_cluster": number != "", "cluster_id": number.try_cast("int")}
+
+
+def files_under(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """(path, n_bytes) of the files in a folder and below whose names end so; the listing is Spark's, contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("n_bytes"))
+    return found.where(F.endswith("path", F.lit(suffix))) if suffix else found
+
 
+def text_records(lines: DataFrame, kinds: tuple[str, ...] = ("v", "l")) -> DataFrame:
+    """The lines whose first word is one of ``kinds``, as text, trimmed."""
+    return lines.withColumn("line", F.trim("line")).where(F.split_part(F.translate("line", "\t", " "), F.lit(" "), F.lit(1)).isin(*kinds))
 
-def text_lines(spark: SparkSession, path: str, frame=folder) -> DataFrame:
+
+def text_lines(spark: SparkSession, path: str | list[str], frame=folder) -> DataFrame:
     """(frame_id, line_no from 0, line) of whole text files; the order of lines is that of the file."""
     files = spark.read.option("wholetext", True).text(path).select(frame(F.col("_metadata.file_path")).alias("frame_id"), "value")
     return files.select("frame_id", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
@@ -39,11 +52,18 @@ def points_of(lines: DataFrame, columns: tuple[str, ...] = CHANNELS[:3]) -> Data
     """Points of XYZ lines by position; lines with fewer numbers than three are left out, absent channels are null."""
     f = lines.withColumn("f", F.filter(F.split(F.trim("line"), r"[ \t]+"), lambda v: v != "")).where(F.size("f") >= 3)
     value = [F.try_element_at("f", F.lit(CHANNELS.index(c) + 1)).try_cast("double").alias(c) for c in columns]
-    numbered = f.withColumn("point_id", (F.row_number().over(Window.partitionBy("frame_id").orderBy("line_no")) - 1).cast("long"))
-    return numbered.select("frame_id", "point_id", *value)
+    numbered = row_numbers(f.select("frame_id", "line_no", *value), ["frame_id"], ["line_no"], "point_id")
+    return numbered.select("frame_id", "point_id", *columns)
+
+
+def all_columns(lines: DataFrame, least: int = 3) -> DataFrame:
+    """(frame_id, point_id, x, y, z, rest array): points with all their columns; lines of fewer than ``least`` numbers are left out."""
+    f = lines.withColumn("f", F.transform(F.filter(F.split(F.trim("line"), r"[ \t]+"), lambda v: v != ""), lambda v: v.try_cast("double"))).where(F.size("f") >= least)
+    numbered = row_numbers(f.select("frame_id", "line_no", "f"), ["frame_id"], ["line_no"], "point_id")
+    return numbered.select("frame_id", "point_id", *[F.col("f")[i].alias(c) for i, c in enumerate("xyz")], F.slice("f", 4, F.greatest(F.size("f") - 3, F.lit(0))).alias("rest"))
 
 
-def read_xyz(spark: SparkSession, path: str, color: bool = False, nir: bool = False, intensity: bool = False, frame=folder) -> DataFrame:
+def read_xyz(spark: SparkSession, path: str | list[str], color: bool = False, nir: bool = False, intensity: bool = False, frame=folder) -> DataFrame:
     """Points of XYZ files with the channels asked for."""
     wanted = CHANNELS[:3] + (CHANNELS[3:6] if color else ()) + (("nir",) if nir else ()) + (("intensity",) if intensity else ())
     return points_of(text_lines(spark, path, frame), wanted)
@@ -52,8 +72,8 @@ def read_xyz(spark: SparkSession, path: str, color: bool = False, nir: bool = Fa
 def obj_vertices(lines: DataFrame) -> DataFrame:
     """(frame_id, vertex_id, x, y, z) of the ``v`` records, numbered from 0 in the order of lines."""
     f = lines.withColumn("f", F.split(F.trim("line"), r"\s+")).where((F.col("f")[0] == "v") & (F.size("f") >= 4))
-    n = F.row_number().over(Window.partitionBy("frame_id").orderBy("line_no")) - 1
-    return f.select("frame_id", n.alias("vertex_id"), *[F.col("f")[i + 1].try_cast("double").alias(c) for i, c in enumerate("xyz")])
+    v = f.select("frame_id", "line_no", *[F.col("f")[i + 1].try_cast("double").alias(c) for i, c in enumerate("xyz")])
+    return row_numbers(v, ["frame_id"], ["line_no"], "vertex_id").select("frame_id", F.col("vertex_id").cast("int").alias("vertex_id"), *"xyz")
 
 
 def obj_edges(lines: DataFrame, dialect: str = "line") -> DataFrame:
@@ -79,7 +99,7 @@ def obj_edges(lines: DataFrame, dialect: str = "line") -> DataFrame:
     return loop_edges(e.select("frame_id", "ids"))
 
 
-def read_obj(spark: SparkSession, path: str, dialect: str = "line", frame=folder) -> tuple[DataFrame, DataFrame]:
+def read_obj(spark: SparkSession, path: str | list[str], dialect: str = "line", frame=folder) -> tuple[DataFrame, DataFrame]:
     lines = text_lines(spark, path, frame)
     return obj_vertices(lines), obj_edges(lines, dialect)
 
@@ -124,7 +144,10 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_cloud(spark: SparkSession, path: str, **flags: bool) -> DataFrame:
-    """The reader that fits the extension; anything but .xyz and .ply is refused."""
+    """The reader that fits the extension: .ply, .xyz, or .obj of closed loops (as its vertices); others are refused."""
+    if path.endswith(".obj"):
+        v = read_obj(spark, path, "loop")[0]
+        return v.withColumn("point_id", F.col("vertex_id").cast("long")).select("frame_id", "point_id", *"xyz")
     if path.endswith(".ply"):
         return read_ply(spark, path)
     if path.endswith((".xyz", ".txt")):
@@ -155,8 +178,26 @@ def obj_lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(frame_id, line_no, line): ``v`` records by vertex_id, then ``l`` records by (src, dst), ids from 1."""
     v = vertices.select("frame_id", F.lit(0).alias("part"), F.col("vertex_id").alias("a"), F.lit(0).alias("b"), F.format_string("v %.6f %.6f %.6f", "x", "y", "z").alias("line"))
     e = edges.select("frame_id", F.lit(1).alias("part"), F.col("src").alias("a"), F.col("dst").alias("b"), F.format_string("l %d %d", F.col("src") + 1, F.col("dst") + 1).alias("line"))
-    w = Window.partitionBy("frame_id").orderBy("part", "a", "b")
-    return v.unionByName(e).withColumn("line_no", F.row_number().over(w) - 1).select("frame_id", "line_no", "line")
+    every = row_numbers(v.unionByName(e), ["frame_id"], ["part", "a", "b", "line"], "line_no")
+    return every.select("frame_id", F.col("line_no").cast("int").alias("line_no"), "line")
+
+
+def edge_lines(edges: DataFrame) -> DataFrame:
+    """(frame_id, line): both ends from 1, each followed by a blank."""
+    return edges.select("frame_id", F.format_string("%d %d ", F.col("src") + 1, F.col("dst") + 1).alias("line"))
+
+
+def ply_lines(points: DataFrame, positive: str) -> DataFrame:
+    """(frame_id, line_no, line): ASCII PLY of each frame with the points of the condition red and the others black.
+
+    The header is the ten lines before the points, which are in order of point_id.
+    """
+    p = row_numbers(points.select("frame_id", "point_id", F.format_string("%.6f %.6f %.6f", "x", "y", "z").alias("t"), F.coalesce(F.expr(positive), F.lit(False)).alias("red")), ["frame_id"], ["point_id", "t"], "i")
+    body = p.select("frame_id", (F.col("i") + 10).alias("line_no"), F.concat("t", F.when(F.col("red"), " 255 0 0").otherwise(" 0 0 0")).alias("line"))
+    head = ["ply", "format ascii 1.0", None, "property float x", "property float y", "property float z", "property uchar red", "property uchar green", "property uchar blue", "end_header"]
+    n = points.groupBy("frame_id").agg(F.count("*").alias("n"))
+    text = [F.concat(F.lit("element vertex "), F.col("n").cast("string")) if h is None else F.lit(h) for h in head]
+    return n.select("frame_id", F.posexplode(F.array(*text)).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long")).unionByName(body)
 
 
 def colored_lines(points: DataFrame, positive: str) -> DataFrame:

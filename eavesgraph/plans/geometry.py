@@ -698,16 +698,44 @@ def height_deviation_32(spark, d):
     return rounded(features.height_deviation(_pairs(spark, d, MRGD_K)[0]), "height_dev")
 
 
-@query()
+def _eigen_sql(source: str, cov: str) -> str:
+    """CTEs that end in ev(frame_id, query_id, nx, ny, nz, l1, l2, l3) from neighbour pairs, by the closed form."""
+    names = [(a + b, a, b) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")]
+    cv = f"cv AS (SELECT frame_id, query_id, " + ", ".join(f"{cov}(t{a} - q{a}, t{b} - q{b}) AS {n}" for n, a, b in names) + f" FROM {source} GROUP BY ALL)"
+    crosses = [("xy*yz - xz*ay", "xz*xy - ax*yz", "ax*ay - xy*xy"), ("xy*az - xz*yz", "xz*xz - ax*az", "ax*yz - xy*xz"), ("ay*az - yz*yz", "yz*xz - xy*az", "xy*yz - ay*xz")]
+    ks = ", ".join(f"{v} AS k{i}{c}" for i, k in enumerate(crosses) for c, v in zip("xyz", k))
+    pick = lambda c: f"CASE WHEN k0 >= k1 AND k0 >= k2 THEN k0{c} WHEN k1 >= k2 THEN k1{c} ELSE k2{c} END"
+    row = {"x": ("ax", "xy", "xz"), "y": ("xy", "ay", "yz"), "z": ("xz", "yz", "az")}
+    across = {"x": "CASE WHEN abs(rz) <= abs(rx) THEN ry ELSE 0 END", "y": "CASE WHEN abs(rz) <= abs(rx) THEN -rx ELSE rz END", "z": "CASE WHEN abs(rz) <= abs(rx) THEN 0 ELSE -ry END"}
+    rows = ", ".join(f"CASE WHEN ax >= ay AND ax >= az THEN {v[0]} WHEN ay >= az THEN {v[1]} ELSE {v[2]} END AS r{c}" for c, v in row.items())
+    axis = lambda c: 1 if c == "z" else 0
+    return (
+        f"{cv}, v1 AS (SELECT *, (xx+yy+zz)/3 AS q FROM cv WHERE NOT isnan(xx) AND xx IS NOT NULL), v2 AS (SELECT *, sqrt(((xx-q)*(xx-q) + (yy-q)*(yy-q) + (zz-q)*(zz-q) + 2*(xy*xy + xz*xz + yz*yz))/6) AS p FROM v1), "
+        "v3 AS (SELECT *, CASE WHEN p > 0 THEN acos(greatest(-1, least(1, ((xx-q)*((yy-q)*(zz-q) - yz*yz) - xy*(xy*(zz-q) - yz*xz) + xz*(xy*yz - (yy-q)*xz)) / (p*p*p) / 2)))/3 ELSE 0 END AS phi FROM v2), "
+        "v4 AS (SELECT *, q + 2*p*cos(phi) AS l1, q + 2*p*cos(phi + 2*pi()/3) AS l3 FROM v3), v5 AS (SELECT *, 3*q - l1 - l3 AS l2, xx - l3 AS ax, yy - l3 AS ay, zz - l3 AS az FROM v4), "
+        f"v6 AS (SELECT *, {ks} FROM v5), v7 AS (SELECT *, " + ", ".join(f"k{i}x*k{i}x + k{i}y*k{i}y + k{i}z*k{i}z AS k{i}" for i in range(3)) + f", {rows} FROM v6), "
+        f"v8 AS (SELECT *, " + ", ".join(f"CASE WHEN sqrt(greatest(k0, k1, k2)) > {features.FLAT}::DOUBLE*q*q THEN {pick(c)} WHEN sqrt(rx*rx + ry*ry + rz*rz) <= {features.FLAT}::DOUBLE*q THEN {axis(c)} ELSE {across[c]} END AS o{c}" for c in "xyz") + " FROM v7), "
+        "ev AS (SELECT frame_id, query_id, " + ", ".join(f"CASE WHEN ox*ox + oy*oy + oz*oz > 0 THEN o{c}/sqrt(ox*ox + oy*oy + oz*oz) ELSE {axis(c)} END AS n{c}" for c in "xyz") + ", l1, l2, l3 FROM v8)"
+    )
+
+
+_K30 = _K.replace(_knn('c', 'c', K, 'point_id'), _knn('c', 'c', SHAPE_K, 'point_id'))
+
+
+@query(f"""WITH {_KL}, {_eigen_sql('pr', 'covar_pop')}, nm AS (SELECT ev.frame_id, ev.query_id, nx*sg AS nx, ny*sg AS ny, nz*sg AS nz FROM ev JOIN (SELECT frame_id, point_id, sign(e.nx*x + e.ny*y + e.nz*z) AS sg FROM c JOIN (SELECT frame_id, query_id AS point_id, nx, ny, nz FROM ev) e USING (frame_id, point_id)) g ON ev.frame_id = g.frame_id AND ev.query_id = g.point_id),
+cu AS (SELECT pr.frame_id, pr.query_id, avg(abs((tx-qx)*nx + (ty-qy)*ny + (tz-qz)*nz)) AS c FROM pr JOIN nm ON pr.frame_id = nm.frame_id AND pr.query_id = nm.query_id GROUP BY ALL), mx AS (SELECT frame_id, max(c) AS m FROM cu GROUP BY 1)
+SELECT nm.frame_id, nm.query_id AS point_id, {_r('nx', 'ny', 'nz')}, round(cu.c/(m + 1e-8::DOUBLE), 6) + 0.0 AS curvature FROM nm JOIN cu ON nm.frame_id = cu.frame_id AND nm.query_id = cu.query_id JOIN mx ON nm.frame_id = mx.frame_id""")
 def normals_curvature(spark, d):
     pairs, p = _pairs(spark, d, MRGD_K)
-    n = features.normals(pairs, p)
-    return n.join(features.curvature(pairs, n), ["frame_id", "point_id"])
+    n, _ = written(features.normals(pairs, p), "normals")
+    return rounded(n.join(features.curvature(pairs, n), ["frame_id", "point_id"]), "nx", "ny", "nz", "curvature")
 
 
-@query()
+@query(f"""WITH {_K30}, {_eigen_sql('pr', 'covar_samp')}, sf AS (SELECT frame_id, query_id AS point_id, l3/CASE WHEN l1+l2+l3 > 1e-15::DOUBLE THEN l1+l2+l3 END AS curvature, (l1-l2)/CASE WHEN l1 > 1e-15::DOUBLE THEN l1 END AS linearity, (l2-l3)/CASE WHEN l1 > 1e-15::DOUBLE THEN l1 END AS planarity FROM ev),
+sc AS (SELECT *, 0.4::DOUBLE*curvature + 0.4::DOUBLE*linearity - 0.2::DOUBLE*planarity AS s FROM sf), b AS (SELECT frame_id, min(s) AS lo, max(s) AS hi FROM sc GROUP BY 1)
+SELECT frame_id, point_id, {_r('curvature', 'linearity', 'planarity')}, round((s - lo)/(hi - lo + 1e-8::DOUBLE), 6) + 0.0 AS score FROM sc JOIN b USING (frame_id)""")
 def geometric_features(spark, d):
-    return features.shape_features(_pairs(spark, d, SHAPE_K)[0])
+    return rounded(features.shape_features(_pairs(spark, d, SHAPE_K)[0]), "curvature", "linearity", "planarity", "score")
 
 
 @query()

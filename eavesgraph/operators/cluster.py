@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eavesgraph.operators.cells import boxed, cell_links, cell_side, with_cells
 from eavesgraph.operators.components import components, minimum_labels
 from eavesgraph.operators.spatial import XYZ, knn, radius_pairs
 from eavesgraph.session import written
@@ -31,16 +32,29 @@ def dbscan(points: DataFrame, eps: float, min_pts: int) -> DataFrame:
     numbered by their smallest core; a border point joins the lowest numbered
     cluster among its core neighbours. The result does not depend on the order
     of rows. Frames without a cluster come out as noise only.
+
+    Cells of a diagonal under eps that hold more than min_pts points are all
+    core without looking at pairs; only points of emptier cells are compared
+    with their surroundings. Connected cells, not points, are the nodes of the
+    components, so dense places cost no more than their points.
     """
-    p = points.select("frame_id", "point_id", *XYZ)
-    pairs, _ = written(radius_pairs(p, p, eps, inclusive=True).where("query_id <> target_id").select("frame_id", F.col("query_id").alias("u"), F.col("target_id").alias("v")), "pairs")
-    core = pairs.groupBy("frame_id", "u").count().where(F.col("count") >= min_pts).select("frame_id", "u")
-    other = core.withColumnRenamed("u", "v")
-    links = pairs.where("u < v").join(core, ["frame_id", "u"], "left_semi").join(other, ["frame_id", "v"], "left_semi")
-    cores, _ = written(_numbered(components(core, links)).select("frame_id", "u", "cluster_id"), "cores")
-    reach = pairs.join(cores.withColumnRenamed("u", "v"), ["frame_id", "v"]).groupBy("frame_id", "u").agg(F.min("cluster_id").alias("border_id"))
-    j = p.select("frame_id", F.col("point_id").alias("u")).join(cores, ["frame_id", "u"], "left").join(reach, ["frame_id", "u"], "left")
-    return j.select("frame_id", F.col("u").alias("point_id"), F.coalesce("cluster_id", "border_id").alias("cluster_id"), F.col("cluster_id").isNotNull().alias("is_core"))
+    side = cell_side(eps)
+    own, _ = written(with_cells(points.select("frame_id", "point_id", *[F.col(c).alias(f"p{c}") for c in XYZ]), side), "placed")
+    cell = ["frame_id", "gx", "gy", "gz"]
+    count = own.groupBy(*cell).agg(F.count("*").alias("_n"))
+    own, _ = written(own.join(count, cell).withColumn("dense", F.col("_n") > min_pts).drop("_n"), "sized")
+    plain = lambda df: df.select("frame_id", "point_id", *[F.col(f"p{c}").alias(c) for c in XYZ])
+    sparse = own.where("not dense")
+    pairs, _ = written(radius_pairs(plain(sparse), plain(own), eps, inclusive=True).where("query_id <> target_id").select("frame_id", F.col("query_id").alias("point_id"), "target_id"), "pairs")
+    enough = pairs.groupBy("frame_id", "point_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pts).select("frame_id", "point_id")
+    core, _ = written(own.where("dense").unionByName(sparse.join(enough, ["frame_id", "point_id"], "left_semi")).drop("dense"), "core")
+    cells, _ = written(boxed(core), "core-cells")
+    named = components(cells, cell_links(core, cells, eps, side))
+    cells = cells.select(*cell, "u").join(_numbered(named), ["frame_id", "u"])
+    cores, _ = written(core.join(cells, cell).select("frame_id", "point_id", "cluster_id"), "cores")
+    reach = pairs.join(cores.withColumnRenamed("point_id", "target_id"), ["frame_id", "target_id"]).groupBy("frame_id", "point_id").agg(F.min("cluster_id").alias("border_id"))
+    j = own.select("frame_id", "point_id").join(cores, ["frame_id", "point_id"], "left").join(reach, ["frame_id", "point_id"], "left")
+    return j.select("frame_id", "point_id", F.coalesce("cluster_id", "border_id").alias("cluster_id"), F.col("cluster_id").isNotNull().alias("is_core"))
 
 
 def centroids(points: DataFrame, labels: DataFrame) -> DataFrame:

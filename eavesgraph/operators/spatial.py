@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from eavesgraph.session import written
 
 XYZ = ("x", "y", "z")
+#: Pairs that the last step of knn() compares rather than to look in a wider radius.
+DIRECT = 10_000_000
 
 
 def squared(a: str = "q", b: str = "t") -> Column:
@@ -69,19 +71,26 @@ def nearest_within(queries: DataFrame, targets: DataFrame, radius: float, q_key:
     return radius_pairs(queries, targets, radius, q_key, t_key).groupBy("frame_id", "query_id").agg(best).select("frame_id", "query_id", "b.target_id", "b.d2")
 
 
-def knn(queries: DataFrame, targets: DataFrame, k: int, q_key: str = "vertex_id", t_key: str = "point_id", with_self: bool = True, widen: tuple[float, ...] = (1.0, 4.0, 16.0)) -> DataFrame:
+def knn(queries: DataFrame, targets: DataFrame, k: int, q_key: str = "vertex_id", t_key: str = "point_id", with_self: bool = True, widen: tuple[float, ...] = (1.0, 4.0, 16.0), spread: int = 50_000) -> DataFrame:
     """(frame_id, query_id, target_id, rank, dist): the k nearest targets of each query, ties to the lower id.
 
-    The density of a frame gives a radius that should hold about 3k targets. A
-    query that has k targets within it is settled, since none outside can be
-    nearer; the others look again in wider radii, and the few left compare
-    with their whole frame. Each step is written, so no later one repeats it. with_self=False leaves out the target with the
-    query's own id.
+    The extent of a frame gives a first cell, and how full the cells of its
+    targets are gives the radius: the mean over targets, so empty stretches and
+    outliers do not count. A query that has k targets within the radius is
+    settled, since none outside can be nearer; the others look again in wider
+    radii, until those left compare with their whole frames in at most DIRECT
+    pairs or no radius is left; frames are dealt by a hash into parts of about
+    ``spread`` targets for that. Each step is written, so no later one
+    repeats it. with_self=False leaves out the target with the query's own id.
     """
-    extent = targets.groupBy("frame_id").agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(f"e{c}") for c in XYZ])
+    near, _ = written(_side(targets, t_key, "target"), "targets")
+    extent = near.groupBy("frame_id").agg(F.count("*").alias("n"), *[(F.max(f"t{c}") - F.min(f"t{c}")).alias(f"e{c}") for c in XYZ])
     area = F.greatest(F.col("ex") * F.col("ey"), F.col("ex") * F.col("ez"), F.col("ey") * F.col("ez"), F.lit(1e-6))
-    base = extent.select("frame_id", F.sqrt(F.lit(float(k)) * area / F.col("n")).alias("_r"))
-    q, t = _side(queries, q_key, "query").join(base, "frame_id"), _side(targets, t_key, "target").join(base.withColumnRenamed("_r", "_tr"), "frame_id")
+    first = extent.select("frame_id", F.sqrt(F.lit(float(k)) * area / F.col("n")).alias("_r"), "n")
+    inside = near.join(first, "frame_id").groupBy("frame_id", "_r", "n", *[F.floor(F.col(f"t{c}") / F.col("_r")).alias(f"_c{c}") for c in XYZ]).agg(F.count("*").alias("_n"))
+    full = inside.groupBy("frame_id", "_r", "n").agg((F.sum(F.col("_n") * F.col("_n")) / F.sum("_n")).alias("_own"))
+    base = written(full.select("frame_id", (F.col("_r") * F.sqrt(F.least(F.lit(1.0), F.lit(float(k)) / F.col("_own")))).alias("_r"), "n", F.ceil(F.col("n") / spread).alias("_parts")), "radii")[0]
+    q, t = _side(queries, q_key, "query").join(base, "frame_id"), near.join(base.drop("n").withColumnsRenamed({"_r": "_tr", "_parts": "_tp"}), "frame_id")
     other = F.lit(True) if with_self else F.col("query_id") != F.col("target_id")
     key = ["frame_id", "query_id"]
     order = Window.partitionBy(*key).orderBy("d2", "target_id")
@@ -89,21 +98,23 @@ def knn(queries: DataFrame, targets: DataFrame, k: int, q_key: str = "vertex_id"
     def top(pairs: DataFrame) -> DataFrame:
         return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    q, t = written(q, "asked")[0], written(t, "base")[0]
+    q, _ = written(q, "asked")
     parts, left = [], q
     for step in widen:
         r = F.col("_r") * step
         around = F.explode(F.array(*[F.struct(*[F.lit(d).alias(c) for d, c in zip((i, j, m), XYZ)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)]))
         a = left.withColumn("_o", around).withColumns({f"_c{c}": F.floor(F.col(f"q{c}") / r) + F.col(f"_o.{c}") for c in XYZ}).drop("_o")
-        b = t.withColumns({f"_c{c}": F.floor(F.col(f"t{c}") / (F.col("_tr") * step)) for c in XYZ}).drop("_tr")
+        b = t.withColumns({f"_c{c}": F.floor(F.col(f"t{c}") / (F.col("_tr") * step)) for c in XYZ}).drop("_tr", "_tp")
         near = a.join(b, ["frame_id", "_cx", "_cy", "_cz"]).withColumn("d2", squared()).where((F.col("d2") <= r * r) & other).select(*key, "target_id", "d2")
         best, _ = written(top(near), "nearest")
         full = best.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select(*key)
         parts.append(best.join(full, key, "left_semi"))
         left = left.join(full, key, "left_anti")
-        if left.isEmpty():
+        if (left.agg(F.sum("n")).first()[0] or 0) <= DIRECT:
             break
-    parts.append(top(left.join(t.drop("_tr"), "frame_id").withColumn("d2", squared()).where(other).select(*key, "target_id", "d2")))
+    dealt = left.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    held = t.withColumn("_part", F.pmod(F.xxhash64("target_id"), "_tp")).drop("_tr", "_tp")
+    parts.append(top(dealt.join(held, ["frame_id", "_part"]).withColumn("d2", squared()).where(other).select(*key, "target_id", "d2")))
     return reduce(DataFrame.unionByName, parts).select(*key, "target_id", "rank", F.sqrt("d2").alias("dist"))
 
 

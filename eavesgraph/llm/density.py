@@ -8,48 +8,14 @@ changes. The groups are exactly the connected components of "at most eps apart".
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from eavesgraph.operators.cells import boxed, cell_links, cell_side, with_cells
 from eavesgraph.operators.components import minimum_labels
-from eavesgraph.session import drop_path, written
+from eavesgraph.session import written
 
 CELL = ["frame_id", "gx", "gy", "gz"]
-#: Cells along an edge of a block; blocks are the join key of adjacent cells.
-BLOCK = 8
-
-
-def _square(terms: list[Column]) -> Column:
-    return sum((t * t for t in terms[1:]), terms[0] * terms[0])
-
-
-def _links(placed: DataFrame, cells: DataFrame, eps: float, side: float) -> tuple[DataFrame, str]:
-    """Pairs of cells (frame_id, u, v), u < v, that hold points at most eps apart.
-
-    A cell meets those of the blocks that its bounding box, widened by eps,
-    touches. Boxes that lie within eps as a whole are linked, boxes farther
-    apart than eps are not; only for the rest are points compared, and of one
-    cell only those within eps of the other's box.
-    """
-    block = lambda c: F.floor(c / BLOCK)
-    reach = [F.explode(F.sequence(block(F.floor((F.col(f"lo{c}") - eps) / side)), block(F.floor((F.col(f"hi{c}") + eps) / side)))).alias(f"b{c}") for c in "xyz"]
-    a = cells
-    for r in reach:
-        a = a.select("*", r)
-    a = a.select("frame_id", "bx", "by", "bz", F.col("u").alias("u"), *[F.col(f"g{c}").alias(f"ag{c}") for c in "xyz"], *[F.col(f"{e}{c}").alias(f"a{e}{c}") for e in ("lo", "hi") for c in "xyz"])
-    b = cells.select("frame_id", *[block(F.col(f"g{c}")).alias(f"b{c}") for c in "xyz"], F.col("u").alias("v"), *[F.col(f"g{c}").alias(f"bg{c}") for c in "xyz"], *[F.col(f"{e}{c}").alias(f"b{e}{c}") for e in ("lo", "hi") for c in "xyz"])
-    gap = [F.greatest(F.lit(0.0), F.col(f"blo{c}") - F.col(f"ahi{c}"), F.col(f"alo{c}") - F.col(f"bhi{c}")) for c in "xyz"]
-    span = [F.greatest(F.col(f"bhi{c}") - F.col(f"alo{c}"), F.col(f"ahi{c}") - F.col(f"blo{c}")) for c in "xyz"]
-    near = a.join(b, ["frame_id", "bx", "by", "bz"]).where((F.col("u") < F.col("v")) & (_square(gap) <= eps * eps))
-    near = near.select("frame_id", "u", "v", (_square(span) <= eps * eps).alias("sure"), *[f"{s}g{c}" for s in "ab" for c in "xyz"], *[f"b{e}{c}" for e in ("lo", "hi") for c in "xyz"])
-    near, path = written(near, "near-cells")
-    open_ = near.where("not sure")
-    of = lambda s: placed.select("frame_id", *[F.col(f"g{c}").alias(f"{s}g{c}") for c in "xyz"], *[F.col(f"p{c}").alias(f"{s}{c}") for c in "xyz"])
-    one = open_.join(of("a"), ["frame_id", "agx", "agy", "agz"])
-    out = [F.greatest(F.lit(0.0), F.col(f"blo{c}") - F.col(f"a{c}"), F.col(f"a{c}") - F.col(f"bhi{c}")) for c in "xyz"]
-    one = one.where(_square(out) <= eps * eps).select("frame_id", "u", "v", "bgx", "bgy", "bgz", "ax", "ay", "az")
-    two = one.join(of("b"), ["frame_id", "bgx", "bgy", "bgz"]).where(_square([F.col(f"a{c}") - F.col(f"b{c}") for c in "xyz"]) <= eps * eps)
-    return near.where("sure").select("frame_id", "u", "v").unionByName(two.select("frame_id", "u", "v").distinct()), path
 
 
 def density_groups(places: DataFrame, eps: float = 0.10, least: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -59,16 +25,14 @@ def density_groups(places: DataFrame, eps: float = 0.10, least: int = 5) -> tupl
     (frame_id, label, point_id, px, py, pz and the cell), label being the
     smallest point_id of the group; groups: (frame_id, label, n_points). Only
     groups of at least ``least`` points come out. Points at one place are
-    linked. An empty table gives empty results.
+    linked. However many points two neighbouring cells hold, they are compared
+    by the boxes of their halves until those decide (cell_links). An empty table
+    gives empty results.
     """
-    side = eps / 3**0.5 * 0.9995
-    placed = places.select("*", *[F.floor(F.col(f"p{c}") / side).alias(f"g{c}") for c in "xyz"])
-    placed, _ = written(placed, "placed")
-    box = [f(F.col(f"p{c}")).alias(f"{e}{c}") for e, f in (("lo", F.min), ("hi", F.max)) for c in "xyz"]
-    cells, _ = written(placed.groupBy(*CELL).agg(F.count("*").alias("n"), F.min("point_id").alias("u"), *box), "cells")
-    links, scratch = _links(placed, cells, eps, side)
-    labels = minimum_labels(links)
-    drop_path(places.sparkSession, scratch)
+    side = cell_side(eps)
+    placed, _ = written(with_cells(places, side), "placed")
+    cells, _ = written(boxed(placed), "cells")
+    labels = minimum_labels(cell_links(placed, cells, eps, side))
     named = cells.select(*CELL, "n", "u").join(labels, ["frame_id", "u"], "left").withColumn("label", F.coalesce("label", "u"))
     groups = named.groupBy("frame_id", "label").agg(F.sum("n").alias("n_points")).where(F.col("n_points") >= least)
     kept = named.join(groups, ["frame_id", "label"], "left_semi")
@@ -79,13 +43,13 @@ def describe_groups(members: DataFrame, groups: DataFrame, typical: int = 3) ->
     """Size, mean and most typical members of every group.
 
     Typical are members of the densest cell (ties: the cell that comes first),
-    those nearest the group's mean first, then by point_id.
+    those nearest the group's mean first (to nine digits of the square), then by point_id.
     """
     key = ["frame_id", "label"]
     cell = F.struct((-F.col("n_cell")).alias("n"), "gx", "gy", "gz")
     mean = members.groupBy(*key).agg(*[F.avg(f"p{c}").alias(f"m{c}") for c in "xyz"], F.min(cell).alias("dense"))
     inside = members.join(mean, key).where(cell == F.col("dense"))
-    d2 = _square([F.col(f"p{c}") - F.col(f"m{c}") for c in "xyz"])
+    d2 = F.round(sum(((F.col(f"p{c}") - F.col(f"m{c}")) * (F.col(f"p{c}") - F.col(f"m{c}")) for c in "xyz"), F.lit(0.0)), 9)
     ranked = inside.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(d2, "point_id"))).where(F.col("rank") <= typical)
     top = ranked.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("rank", "point_id")))["point_id"].alias("central"))
     return groups.join(mean.drop("dense"), key).join(top, key).select("frame_id", F.col("label").alias("first_point_id"), "n_points", *[F.round(f"m{c}", 6).alias(c) for c in "xyz"], "central")

@@ -20,7 +20,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    return density.describe_groups(*_groups(spark, d))
+    """Groups with their size, mean and three most central members."""
+    return density.describe_groups(*_groups(spark, d)).withColumn("central", F.array_join("central", ","))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -89,15 +90,22 @@ d AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_sum(list_transform(list
   FROM v a JOIN v b ON a.run_id = b.run_id AND a.vec_id <> b.vec_id WHERE {which}),
 n AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, neighbour) AS rank FROM d QUALIFY rank <= 10) """
 
-ORACLE = {
-    "p2_found": """WITH RECURSIVE sel AS (SELECT DISTINCT frame_id, point_id, dx, dy, dz FROM pred_points
+_SIDE = "(0.1::DOUBLE / 3::DOUBLE ** 0.5::DOUBLE * 0.9995::DOUBLE)"
+_GROUPS = """WITH RECURSIVE sel AS (SELECT DISTINCT frame_id, point_id, dx, dy, dz FROM pred_points
   WHERE score > 0.5 AND NOT isnan(score) AND NOT (dx = -10 AND dy = -10 AND dz = -10)),
 q AS (SELECT DISTINCT sel.frame_id AS f, sel.point_id AS p, x + dx AS x, y + dy AS y, z + dz AS z FROM sel JOIN points USING (frame_id, point_id)),
 near AS (SELECT a.f, a.p AS a, b.p AS b FROM q a JOIN q b ON a.f = b.f AND abs(a.x - b.x) <= 0.1 AND abs(a.y - b.y) <= 0.1
   AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.1 * 0.1),
 reach AS (SELECT f, a, b FROM near UNION SELECT r.f, r.a, n.b FROM reach r JOIN near n ON r.f = n.f AND r.b = n.a),
-g AS (SELECT f, a AS p, min(b) AS first, count(DISTINCT b) AS n FROM reach GROUP BY 1, 2)
-SELECT f AS frame_id, first AS first_point_id, p AS point_id FROM g WHERE n >= 5 AND p > first""",
+g AS (SELECT f, a AS p, min(b) AS first, count(DISTINCT b) AS n FROM reach GROUP BY 1, 2) """
+
+ORACLE = {
+    "p2_found": _GROUPS + "SELECT f AS frame_id, first AS first_point_id, p AS point_id FROM g WHERE n >= 5 AND p > first",
+    "p2_groups": _GROUPS + f""", m AS (SELECT q.f, first, q.p, x, y, z, n, floor(x/{_SIDE}) AS gx, floor(y/{_SIDE}) AS gy, floor(z/{_SIDE}) AS gz FROM g JOIN q ON g.f = q.f AND g.p = q.p WHERE n >= 5),
+c AS (SELECT f, first, gx, gy, gz, row_number() OVER (PARTITION BY f, first ORDER BY k DESC, gx, gy, gz) AS rn FROM (SELECT f, first, gx, gy, gz, count(*) AS k FROM m GROUP BY f, first, gx, gy, gz)),
+a AS (SELECT f, first, count(*) AS n_points, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM m GROUP BY ALL),
+t AS (SELECT m.f, m.first, m.p, row_number() OVER (PARTITION BY m.f, m.first ORDER BY round((x-mx)*(x-mx) + (y-my)*(y-my) + (z-mz)*(z-mz), 9), p) AS rk FROM m JOIN a ON m.f = a.f AND m.first = a.first JOIN c ON m.f = c.f AND m.first = c.first AND m.gx = c.gx AND m.gy = c.gy AND m.gz = c.gz AND rn = 1)
+SELECT a.f AS frame_id, a.first AS first_point_id, n_points, round(mx, 6) + 0.0 AS x, round(my, 6) + 0.0 AS y, round(mz, 6) + 0.0 AS z, string_agg(CAST(p AS VARCHAR), ',' ORDER BY rk) AS central FROM a JOIN t ON a.f = t.f AND a.first = t.first WHERE rk <= 3 GROUP BY a.f, a.first, n_points, mx, my, mz""",
     "p4_found": _NEAREST.format(which="a.vec_id IN (SELECT vec_id FROM fusion_probes)") + "SELECT DISTINCT least(vec_id, neighbour) AS vec_a, greatest(vec_id, neighbour) AS vec_b FROM n",
     "p6_found": "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) > 8192",
 }

@@ -21,10 +21,10 @@ from eavesgraph.session import written
 
 CAPACITY = 8192
 #: Items of a shard, islands of a shard, and how long they evolve.
-SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITE = 4096, 2, 3, 6, 6, 2
-#: Bins filled less than this are opened again and packed across shards.
-CLOSED = 0.99
-INDIVIDUAL = "shard long, island int, fitness double, doc_id array<long>, piece array<int>, size array<int>, bin array<int>"
+SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITE = 4096, 2, 3, 20, 8, 2
+#: Bins filled less than this share are opened again and packed across shards, at most so many times.
+CLOSED, LEVELS = 0.99, 6
+INDIVIDUAL = "shard long, island int, fitness double, bin array<int>"
 
 
 def pieces_of(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -130,20 +130,14 @@ class Packer:
 
 
 def _epoch(epoch: int, capacity: int):
-    """The function that evolves one island from its own and its guests' individuals."""
+    """The function that evolves one island from the sizes of its shard and its own and its guests' individuals."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard, island = int(pdf["shard"].iloc[0]), int(pdf["island"].iloc[0])
-        if epoch == 0:
-            pdf = pdf.sort_values(["doc_id", "piece", "size"], kind="stable")
-            doc, piece, size, start = pdf["doc_id"].to_numpy(), pdf["piece"].to_numpy(), pdf["size"].to_numpy(), []
-        else:
-            pdf = pdf.sort_values(["fitness", "origin"], ascending=[False, True], kind="stable")
-            doc, piece, size = (np.asarray(pdf[c].iloc[0]) for c in ("doc_id", "piece", "size"))
-            start = [np.asarray(b).astype(np.int64) for b in pdf["bin"]]
-        packer = Packer(size, capacity, hash((shard, island, epoch)) & 0x7FFFFFFF)
-        best = packer.evolve(start, GENERATIONS, POPULATION)[:ELITE]
-        return pd.DataFrame([(shard, island, f, doc.tolist(), piece.tolist(), size.tolist(), b.tolist()) for f, b in best], columns=["shard", "island", "fitness", "doc_id", "piece", "size", "bin"])
+    def run(items: pd.DataFrame, guests: pd.DataFrame) -> pd.DataFrame:
+        shard, island = int(items["shard"].iloc[0]), int(items["island"].iloc[0])
+        guests = guests.sort_values(["fitness", "origin"], ascending=[False, True], kind="stable")
+        packer = Packer(np.asarray(items["size"].iloc[0]), capacity, hash((shard, island, epoch)) & 0x7FFFFFFF)
+        best = packer.evolve([np.asarray(b).astype(np.int64) for b in guests["bin"]], GENERATIONS, POPULATION)[:ELITE]
+        return pd.DataFrame([(shard, island, f, b.tolist()) for f, b in best], columns=["shard", "island", "fitness", "bin"])
 
     return run
 
@@ -151,17 +145,23 @@ def _epoch(epoch: int, capacity: int):
 def evolve_shards(items: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
     """(shard, doc_id, piece, size, bin) of the best individual of each shard.
 
-    items: doc_id, piece, size, shard. Between epochs the elites of an island
-    stay and also move to the next island of their shard.
+    items: doc_id, piece, size, shard. The items of a shard are written once, in
+    a fixed order; individuals are only the bins of that order. Between epochs
+    the elites of an island stay and also move to the next island of their shard.
     """
-    spread = items.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
-    state = spread.groupBy("shard", "island").applyInPandas(_epoch(0, capacity), INDIVIDUAL)
-    for epoch in range(1, epochs):
-        visits = F.explode(F.array(F.col("island"), (F.col("island") + 1) % islands) if islands > 1 else F.array("island"))
-        state = state.select("shard", visits.alias("to"), F.col("island").alias("origin"), "fitness", "doc_id", "piece", "size", "bin").withColumnRenamed("to", "island")
-        state = state.groupBy("shard", "island").applyInPandas(_epoch(epoch, capacity), INDIVIDUAL)
-    best = state.groupBy("shard").agg(F.max_by(F.struct("doc_id", "piece", "size", "bin"), F.struct("fitness", -F.col("island"))).alias("b"))
-    return best.select("shard", F.explode(F.arrays_zip("b.doc_id", "b.piece", "b.size", "b.bin")).alias("i")).select("shard", "i.doc_id", "i.piece", "i.size", "i.bin")
+    row = F.struct("doc_id", "piece", "size")
+    held, _ = written(items.groupBy("shard").agg(F.array_sort(F.collect_list(row)).alias("i")).select(F.col("shard").cast("long").alias("shard"), "i"), "shards")
+    sizes = held.select("shard", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), F.col("i.size").alias("size"))
+    state = None
+    for epoch in range(epochs):
+        if state is None:
+            guests = items.sparkSession.createDataFrame([], "g_shard long, g_island int, origin int, fitness double, bin array<int>")
+        else:
+            visits = F.explode(F.array(F.col("island"), (F.col("island") + 1) % islands) if islands > 1 else F.array("island"))
+            guests = state.select(F.col("shard").alias("g_shard"), visits.alias("g_island"), F.col("island").alias("origin"), "fitness", "bin")
+        state = sizes.groupBy("shard", "island").cogroup(guests.groupBy("g_shard", "g_island")).applyInPandas(_epoch(epoch, capacity), INDIVIDUAL)
+    best = state.groupBy("shard").agg(F.max_by("bin", F.struct("fitness", -F.col("island"))).alias("bin"))
+    return held.join(best, "shard").select("shard", F.explode(F.arrays_zip("i.doc_id", "i.piece", "i.size", "bin")).alias("i")).select("shard", "i.doc_id", "i.piece", "i.size", "i.bin")
 
 
 def pack(documents: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
@@ -169,10 +169,10 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) ->
 
     Full pieces are containers of their own. The other items are dealt by a
     hash into shards of about ``shard`` items, so that no task holds more
-    however many items there are; what the best individuals leave in bins under
-    CLOSED is packed again across shards, level by level, until one shard is
-    left or it no longer shrinks. The result is deterministic. An empty table
-    gives no containers.
+    however many items there are; what the best individuals leave in bins filled
+    under the share CLOSED is dealt anew and packed again across shards, until
+    one shard is left or LEVELS levels were made; the last level keeps all its
+    bins. The result is deterministic. An empty table gives no containers.
     """
     items, _ = written(pieces_of(documents, capacity), "pieces")
     whole = items.where(F.col("size") == capacity).select(F.concat_ws("-", F.lit("full"), "doc_id", "piece").alias("container_id"), "doc_id", "piece", "size")
@@ -183,12 +183,10 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) ->
         dealt = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(shards)))
         packed, _ = written(evolve_shards(dealt, capacity), "packed")
         fill = packed.groupBy("shard", "bin").agg(F.sum("size").alias("fill"))
-        last = shards == 1
+        last = shards == 1 or level == LEVELS - 1
         ready = packed if last else packed.join(fill.where(F.col("fill") >= CLOSED * capacity), ["shard", "bin"], "left_semi")
         left = None if last else packed.join(fill.where(F.col("fill") < CLOSED * capacity), ["shard", "bin"], "left_semi").select("doc_id", "piece", "size")
-        before, n = n, 0 if last else left.count()
-        if n > 0.7 * before:
-            ready, n = packed, 0
+        n = 0 if last else left.count()
         done.append(ready.select(F.concat_ws("-", F.lit(level), "shard", "bin").alias("container_id"), "doc_id", "piece", "size"))
         rest, level = left, level + 1
     counts = items.where("n_pieces > 1").select("doc_id", "n_pieces").distinct()

@@ -52,6 +52,14 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return used.agg(F.count("*").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"), F.ceil(F.sum("n_tokens") / cap).alias("least"), F.round(F.sum("unused") / (F.count("*") * cap), 6).alias("unused_share"))
 
 
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Every text or piece with the containers it is in and whether one of them is overfull: each must be in one, none of them overfull."""
+    packed = packing.pack(table(spark, d, "documents"))
+    over = packing.containers(packed).where(F.col("n_tokens") > packing.CAPACITY).select("container_id", F.lit(True).alias("over"))
+    j = packed.join(over, "container_id", "left")
+    return j.groupBy("doc_id", "piece", "size").agg(F.count("*").alias("n_containers"), F.count_if("over").alias("n_overfull"))
+
+
 def _leaked(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -81,7 +89,7 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
     return languages.language_segments(table(spark, d, "documents"), table(spark, d, "lang_codes"), _vocabulary(spark))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_neighbours, p6_found, p6_containers, p6_report, p7_found, p7_items, p8_found, p8_segments)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_neighbours, p6_found, p6_containers, p6_pieces, p6_report, p7_found, p7_items, p8_found, p8_segments)}
 
 _NEAREST = """WITH v AS (SELECT DISTINCT vec_id, run_id, list_concat(xyz, list_concat(fpfh, mrgd)) AS a FROM fusion_inputs
   WHERE len(xyz) = 3 AND len(fpfh) = 5 AND len(mrgd) = 3 AND xyz IS NOT NULL AND fpfh IS NOT NULL AND mrgd IS NOT NULL
@@ -107,5 +115,6 @@ a AS (SELECT f, first, count(*) AS n_points, avg(x) AS mx, avg(y) AS my, avg(z)
 t AS (SELECT m.f, m.first, m.p, row_number() OVER (PARTITION BY m.f, m.first ORDER BY round((x-mx)*(x-mx) + (y-my)*(y-my) + (z-mz)*(z-mz), 9), p) AS rk FROM m JOIN a ON m.f = a.f AND m.first = a.first JOIN c ON m.f = c.f AND m.first = c.first AND m.gx = c.gx AND m.gy = c.gy AND m.gz = c.gz AND rn = 1)
 SELECT a.f AS frame_id, a.first AS first_point_id, n_points, round(mx, 6) + 0.0 AS x, round(my, 6) + 0.0 AS y, round(mz, 6) + 0.0 AS z, string_agg(CAST(p AS VARCHAR), ',' ORDER BY rk) AS central FROM a JOIN t ON a.f = t.f AND a.first = t.first WHERE rk <= 3 GROUP BY a.f, a.first, n_points, mx, my, mz""",
     "p4_found": _NEAREST.format(which="a.vec_id IN (SELECT vec_id FROM fusion_probes)") + "SELECT DISTINCT least(vec_id, neighbour) AS vec_a, greatest(vec_id, neighbour) AS vec_b FROM n",
+    "p6_pieces": "SELECT doc_id, CAST(piece AS INTEGER) AS piece, CAST(least(8192, n - piece * 8192) AS INTEGER) AS size, 1::BIGINT AS n_containers, 0::BIGINT AS n_overfull FROM (SELECT doc_id, strlen(text) AS n, unnest(range(0, CAST(ceil(strlen(text) / 8192.0) AS BIGINT))) AS piece FROM documents WHERE text <> '')",
     "p6_found": "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) > 8192",
 }

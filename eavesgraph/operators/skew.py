@@ -9,18 +9,19 @@ from pyspark.sql import functions as F
 
 #: A key is heavy if it holds at least this share of all rows, so there are at most as many heavy keys as the share goes into one.
 HEAVY_SHARE = 1 / 1024
-#: Below this many rows a key never needs splitting.
-HEAVY_LEAST = 50_000
+#: Below this many rows a key is no load for a task and is not split off.
+HEAVY_LEAST = 1_000
 
 
-def heavy_keys(counts: DataFrame, keys: list[str], n: str = "n") -> list[tuple]:
-    """The keys that hold at least HEAVY_SHARE of all rows; at most 1024 of them.
+def heavy_keys(counts: DataFrame, keys: list[str], n: str = "n", share: float = HEAVY_SHARE, least: int | None = None) -> list[tuple]:
+    """The keys that hold at least ``share`` of all rows and ``least`` rows (HEAVY_LEAST); at most 1 / share of them.
 
-    counts: per key (or key and period) the number ``n`` of rows.
+    counts: per key (or key and period) the number ``n`` of rows. Which keys are
+    split off changes the plan of a join, never its rows.
     """
     per = counts.groupBy(*keys).agg(F.sum(n).alias("_n"))
     total = counts.agg(F.sum(n)).first()[0] or 0
-    least = max(HEAVY_LEAST, int(total * HEAVY_SHARE) + 1)
+    least = max(HEAVY_LEAST if least is None else least, int(total * share) + 1)
     if total < least:
         return []
     return [tuple(r[k] for k in keys) for r in per.where(F.col("_n") >= least).select(*keys).collect()]

@@ -69,6 +69,18 @@ def test_heavy_keys_are_split(spark, rows, monkeypatch):
     assert skew.join_by_weight(left, states, ["k"], heavy, "inner").count() == 21
 
 
+def test_a_hot_frame_is_split_off_without_settings(spark, rows, monkeypatch):
+    heavy = []
+    keep = integrity.heavy_keys
+    monkeypatch.setattr(integrity, "heavy_keys", lambda *a, **k: heavy.append(keep(*a, **k)) or heavy[-1])
+    vertices = spark.range(3000).selectExpr("id AS vertex_row", "IF(id < 1500, 'hot', concat('f', id)) AS frame_id", "cast(id AS int) AS vertex_id", "timestamp'2024-01-05' AS loaded_at", "cast(NULL AS timestamp) AS deleted_at")
+    frames = spark.createDataFrame([("hot", at(9), None), ("f2000", at(1), None)], "frame_id string, loaded_at timestamp, deleted_at timestamp")
+    edges = spark.createDataFrame([], "edge_row long, frame_id string, src int, dst int, loaded_at timestamp")
+    got = integrity.wireframe_orphans(edges, vertices, frames).groupBy("state").count()
+    assert rows(got) == [("late", 1500), ("missing", 1499)] and [("hot",)] in heavy
+    assert rows(integrity.wireframe_orphans(edges, vertices, frames, counts=True), "state", "n_refs") == [("late", 1500), ("missing", 1499)]
+
+
 FILES = "file_id long, file_path string, frame_id string, kind string, written_at timestamp, n_bytes long, body string, x double"
 
 

@@ -24,6 +24,8 @@ CAPACITY = 8192
 SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITE = 4096, 2, 3, 20, 8, 2
 #: Bins filled less than this share are opened again and packed across shards, at most so many times.
 CLOSED, LEVELS = 0.99, 6
+#: Most tasks of an epoch.
+TASKS = 20_000
 INDIVIDUAL = "shard long, island int, fitness double, bin array<int>"
 
 
@@ -142,16 +144,18 @@ def _epoch(epoch: int, capacity: int):
     return run
 
 
-def evolve_shards(items: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+def evolve_shards(items: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, epochs: int = EPOCHS, tasks: int = 200) -> DataFrame:
     """(shard, doc_id, piece, size, bin) of the best individual of each shard.
 
     items: doc_id, piece, size, shard. The items of a shard are written once, in
     a fixed order; individuals are only the bins of that order. Between epochs
     the elites of an island stay and also move to the next island of their shard.
+    tasks: how many an epoch is spread over; sizes are small but long to pack,
+    so this must not follow from their bytes.
     """
     row = F.struct("doc_id", "piece", "size")
     held, _ = written(items.groupBy("shard").agg(F.array_sort(F.collect_list(row)).alias("i")).select(F.col("shard").cast("long").alias("shard"), "i"), "shards")
-    sizes = held.select("shard", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), F.col("i.size").alias("size"))
+    sizes = held.select("shard", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), F.col("i.size").alias("size")).repartition(tasks, "shard", "island")
     state = None
     for epoch in range(epochs):
         if state is None:
@@ -159,7 +163,7 @@ def evolve_shards(items: DataFrame, capacity: int = CAPACITY, islands: int = ISL
         else:
             visits = F.explode(F.array(F.col("island"), (F.col("island") + 1) % islands) if islands > 1 else F.array("island"))
             guests = state.select(F.col("shard").alias("g_shard"), visits.alias("g_island"), F.col("island").alias("origin"), "fitness", "bin")
-        state = sizes.groupBy("shard", "island").cogroup(guests.groupBy("g_shard", "g_island")).applyInPandas(_epoch(epoch, capacity), INDIVIDUAL)
+        state = sizes.groupBy("shard", "island").cogroup(guests.repartition(tasks, "g_shard", "g_island").groupBy("g_shard", "g_island")).applyInPandas(_epoch(epoch, capacity), INDIVIDUAL)
     best = state.groupBy("shard").agg(F.max_by("bin", F.struct("fitness", -F.col("island"))).alias("bin"))
     return held.join(best, "shard").select("shard", F.explode(F.arrays_zip("i.doc_id", "i.piece", "i.size", "bin")).alias("i")).select("shard", "i.doc_id", "i.piece", "i.size", "i.bin")
 
@@ -181,7 +185,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) ->
     while n:
         shards = max(1, math.ceil(n / shard))
         dealt = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(shards)))
-        packed, _ = written(evolve_shards(dealt, capacity), "packed")
+        packed, _ = written(evolve_shards(dealt, capacity, tasks=min(shards * ISLANDS, TASKS)), "packed")
         fill = packed.groupBy("shard", "bin").agg(F.sum("size").alias("fill"))
         last = shards == 1 or level == LEVELS - 1
         ready = packed if last else packed.join(fill.where(F.col("fill") >= CLOSED * capacity), ["shard", "bin"], "left_semi")

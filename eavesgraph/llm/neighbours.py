@@ -20,6 +20,8 @@ DIMS = sum(n for _, n in PARTS)
 SHARD = 8192
 #: Most cells of a run and of all runs, vectors a cell in the sample that places them, and rounds of k-means.
 RUN_CELLS, CELLS, SAMPLE, ROUNDS = 1024, 200_000, 64, 6
+#: Most tasks that build graphs.
+TASKS = 20_000
 #: Queries that one task puts to one graph.
 BLOCK = 16_384
 GRAPH = ["dims", "start", "ids", "x", "first", "count", "edges"]
@@ -207,7 +209,9 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD
         return pd.DataFrame([(*key, *index.stored())], columns=["run_id", "cell", "part", *GRAPH])
 
     dealt = placed.join(parts, ["run_id", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), "n_parts").cast("int"))
-    graphs, _ = written(dealt.select("run_id", "cell", "part", "vec_id", "v").groupBy("run_id", "cell", "part").applyInPandas(build, "run_id string, cell int, part int, dims int, start int, ids binary, x binary, first binary, count binary, edges binary"), "graphs")
+    # a graph takes long to build for its bytes, so tasks follow from the number of graphs
+    tasks = max(1, min(TASKS, parts.agg(F.sum("n_parts")).first()[0] or 0))
+    graphs, _ = written(dealt.select("run_id", "cell", "part", "vec_id", "v").repartition(tasks, "run_id", "cell", "part").groupBy("run_id", "cell", "part").applyInPandas(build, "run_id string, cell int, part int, dims int, start int, ids binary, x binary, first binary, count binary, edges binary"), "graphs")
     asked, _ = written(_placed(queries.select("run_id", "vec_id", vec).dropDuplicates(["run_id", "vec_id"]), shared), "queries")
     near = _searched(asked, graphs, parts, k, beam)
     if shared.value:

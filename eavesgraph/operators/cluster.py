@@ -165,9 +165,10 @@ def kmeans(points: DataFrame, columns: list[str], clusters, rounds: int = 20, se
     return src.groupBy("frame_id").applyInPandas(run, "frame_id string, point_id long, cluster_id int")
 
 
-def estimated_clusters(points: DataFrame, radius: float, most: int = 50) -> DataFrame:
-    """(frame_id, k): the number of clusters from the mean distance to the nearest other point."""
+def estimated_clusters(points: DataFrame, radius: float, most: int | None = None) -> DataFrame:
+    """(frame_id, k): the number of clusters from the mean distance to the nearest other point; at most half the points, and ``most`` if given."""
     near = knn(points, points, 1, "point_id", "point_id", with_self=False)
     spacing = near.groupBy("frame_id").agg(F.avg("dist").alias("d"), F.count("*").alias("n"))
-    k = F.least(F.floor(F.col("n") * F.col("d") / radius), F.lit(most))
+    k = F.floor(F.col("n") * F.col("d") / radius)
+    k = k if most is None else F.least(k, F.lit(most))
     return spacing.select("frame_id", F.greatest(F.lit(1), F.least(k, F.floor(F.col("n") / 2))).cast("int").alias("k"))

@@ -79,10 +79,22 @@ def path_parts(spark, d):
 @query("SELECT strftime(to_timestamp(floor(epoch(captured_at) / 2592000) * 2592000) AT TIME ZONE 'UTC', '%Y-%m-%d') AS start, frame_id, count(*) AS n_rows FROM points WHERE captured_at IS NOT NULL GROUP BY ALL")
 def stream_windowed_counts(spark, d):
     """Rows per frame and 30 days, as a stream run to its end."""
+    stream = _points_stream(spark, d)
+    out = scratch_path(spark, "counts")
+    frames.written_counts(frames.windowed_counts(stream, "captured_at"), out, scratch_path(spark, "stream")).awaitTermination()
+    return frames.latest(spark, out, ["start", "frame_id"]).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+
+
+def _points_stream(spark, d):
+    """The points as a stream; rows without a time are left out. A table of several files is one micro-batch, so no row of it is late."""
     path = f"{d}/points.parquet"
-    schema = spark.read.parquet(path).schema
-    stream = frames.windowed_counts(frames.parquet_stream(spark, f"{d}/[p]oints.parquet", schema), "captured_at", late="100000 days")
-    name = "counts_" + scratch_path(spark, "x").rsplit("-", 1)[1]
-    q = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", scratch_path(spark, "stream")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+    return frames.parquet_stream(spark, f"{d}/[p]oints.parquet", spark.read.parquet(path).schema, 1_000_000).where("captured_at is not null")
+
+
+@query("SELECT DISTINCT frame_id, point_id FROM points WHERE captured_at IS NOT NULL")
+def stream_distinct_points(spark, d):
+    """Points of a stream without their repeats, as a batch operator writes them."""
+    out = scratch_path(spark, "distinct")
+    kept = frames.distinct_rows(_points_stream(spark, d).select("frame_id", "point_id", "captured_at"), ["frame_id", "point_id"], "captured_at")
+    frames.each_batch(kept, lambda df: df.select("frame_id", "point_id"), out, scratch_path(spark, "stream")).awaitTermination()
+    return spark.read.parquet(out).select("frame_id", "point_id")

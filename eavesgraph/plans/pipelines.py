@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eavesgraph.functions import losses
-from eavesgraph.operators import normalise, order, pipelines, sampling, spatial, wireframe
+from eavesgraph.operators import normalise, order, pipelines, sampling, scoring, spatial, wireframe
 from eavesgraph.operators.clouds import live_norms, members
 from eavesgraph.plans import geometry as g
 from eavesgraph.plans.geometry import _C, _CA, _D2, _E, _F5, _HC, _L, _N, _P, _Q, _SPLIT, _V, _Z, GRID, ORACLE as _GEO, R, SAMPLE, XYZ, _fpfh, _labelled, _r, _r3, _scores, _split, corners, edges, points, predicted, rounded
@@ -123,6 +123,30 @@ def mrgd_appended(spark, d):
     return pipelines.add_mrgd(points(spark, d), named).select("frame_id", "point_id", "m0", "m1", "m2")
 
 
+def _linear(pdf):
+    """A stand-in for a trained model: the logit falls with the length."""
+    import numpy as np
+
+    return pdf[["frame_id", "i", "j"]].assign(score=1 / (1 + np.exp(pdf["length"].to_numpy() - 4.0)))
+
+
+def _share(pdf):
+    """A model that needs the whole frame: lengths as shares of their sum."""
+    return pdf[["frame_id", "i", "j"]].assign(share=pdf["length"] / pdf["length"].sum())
+
+
+@query(f"WITH {_P} SELECT a.frame_id, a.corner_id AS i, b.corner_id AS j, round(1/(1 + exp(sqrt({_D2}) - 4.0::DOUBLE)), 6) + 0.0 AS score FROM p a JOIN p b ON a.frame_id = b.frame_id AND a.corner_id < b.corner_id")
+def scored_candidates(spark, d):
+    """Candidate edges through the scoring hook, batch by batch."""
+    return rounded(scoring.score_batches(wireframe.candidate_edges(predicted(spark, d)), _linear, "frame_id string, i int, j int, score double"), "score")
+
+
+@query(f"WITH {_P}, l AS (SELECT a.frame_id, a.corner_id AS i, b.corner_id AS j, sqrt({_D2}) AS n FROM p a JOIN p b ON a.frame_id = b.frame_id AND a.corner_id < b.corner_id) SELECT frame_id, i, j, round(n / sum(n) OVER (PARTITION BY frame_id), 6) + 0.0 AS share FROM l")
+def scored_frames(spark, d):
+    """Candidate edges through the hook for models of whole frames."""
+    return rounded(scoring.score_frames(wireframe.candidate_edges(predicted(spark, d)), _share, "frame_id string, i int, j int, share double"), "share")
+
+
 @query()
 def sample_and_group(spark, d):
     """64 farthest points of each frame with their 16 nearest."""

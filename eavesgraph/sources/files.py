@@ -43,9 +43,14 @@ def text_records(lines: DataFrame, kinds: tuple[str, ...] = ("v", "l")) -> DataF
 
 
 def text_lines(spark: SparkSession, path: str | list[str], frame=folder) -> DataFrame:
-    """(frame_id, line_no from 0, line) of whole text files; the order of lines is that of the file."""
-    files = spark.read.option("wholetext", True).text(path).select(frame(F.col("_metadata.file_path")).alias("frame_id"), "value")
-    return files.select("frame_id", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    """(frame_id, line_no from 0, line) of text files; the order of lines is that of the file.
+
+    A large file is read in splits by several tasks: lines are ordered by the
+    start of their split and their place in it, and numbered by ranges.
+    """
+    read = spark.read.option("lineSep", "\n").text(path)
+    lines = read.select(frame(F.col("_metadata.file_path")).alias("frame_id"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), F.regexp_replace("value", "\r$", "").alias("line"))
+    return row_numbers(lines, ["_file"], ["_block", "_row"], "line_no").select("frame_id", F.col("line_no").cast("int").alias("line_no"), "line")
 
 
 def points_of(lines: DataFrame, columns: tuple[str, ...] = CHANNELS[:3]) -> DataFrame:

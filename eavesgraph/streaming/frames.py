@@ -19,6 +19,22 @@ def windowed_counts(stream: DataFrame, at: str, width: str = "30 days", late: st
     return out.select(F.col("window.start").alias("start"), "frame_id", "n_rows")
 
 
+def written_counts(stream: DataFrame, out: str, checkpoint: str):
+    """Run a stream of changing counts to the end of its input; each micro-batch writes the rows that changed under its own number."""
+
+    def write(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The last state of every key of what written_counts() wrote."""
+    rows = spark.read.parquet(out)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
+
+
 def distinct_rows(stream: DataFrame, keys: list[str], at: str, late: str = "7 days") -> DataFrame:
     """The stream without repeats of a key; keys older than the watermark are forgotten."""
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)

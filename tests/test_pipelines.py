@@ -98,3 +98,30 @@ def test_a_wavelet_of_an_odd_run_comes_back_flat(spark):
     df = spark.createDataFrame([("a", i, 2.0) for i in range(7)], "frame_id string, pos long, z double")
     c = order.haar_transform(df, "z", "pos").collect()
     assert all(r.detail == 0 and r.approx == pytest.approx(2 * 2 ** (r.level / 2)) for r in c) and len(c) == 4 + 2 + 1
+
+
+def test_lines_keep_their_order_over_splits(spark, tmp_path):
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "points.xyz").write_text("".join(f"{i} 0 0\r\n" if i % 3 else f"{i}\t0  0\n" for i in range(5000)))
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = files.read_xyz(spark, f"file://{tmp_path}/one/points.xyz").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+    assert sorted((r.point_id, r.x) for r in got) == [(i, float(i)) for i in range(5000)]
+
+
+def test_counts_of_a_stream_over_micro_batches(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from eavesgraph.streaming import frames
+
+    rows = spark.range(40).select(F.concat(F.lit("f"), F.col("id") % 3).alias("frame_id"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.col("id").cast("int"))).alias("at"))
+    for k in range(4):
+        rows.where(F.col("frame_id").isNotNull() & (F.dayofyear("at") % 4 == k)).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = frames.parquet_stream(spark, f"file://{tmp_path}/in", rows.schema, 1)
+    out = f"file://{tmp_path}/out"
+    frames.written_counts(frames.windowed_counts(stream, "at", late="60 days"), out, f"file://{tmp_path}/check").awaitTermination()
+    got = frames.latest(spark, out, ["start", "frame_id"])
+    assert got.agg(F.sum("n_rows")).first()[0] == 40 and spark.read.parquet(out).select("batch").distinct().count() >= 4

@@ -303,13 +303,35 @@ def _by_kind(labels: DataFrame) -> DataFrame:
     return labels.select("frame_id", F.when(vertex, "vertex").otherwise("sample").alias("kind"), own.alias("id"), "cluster_id")
 
 
-@query()
+_UNION = "mb AS (SELECT frame_id, point_id AS m, x, y, z, 1 AS s FROM c UNION ALL SELECT frame_id, vertex_id + 1099511627776, x, y, z, 0 FROM v)"
+
+
+def _segments_sql(distance: float, height: float, least: int) -> str:
+    """CTEs over mb(frame_id, m, x, y, z, s) that end in the components hm, the merged segments sg and those of the vertices sv."""
+    return (
+        f"lk AS MATERIALIZED (SELECT a.frame_id AS f, a.m AS u, b.m AS w FROM mb a JOIN mb b ON a.frame_id = b.frame_id AND a.m <> b.m AND abs(a.z-b.z) < {height}::DOUBLE AND {_D2} < {distance}::DOUBLE * {distance}::DOUBLE), "
+        "cc(f, u, label) USING KEY (f, u) AS (SELECT frame_id, m, m FROM mb UNION (SELECT lk.f, lk.w, min(cc.label) FROM cc JOIN lk ON cc.f = lk.f AND cc.u = lk.u JOIN recurring.cc AS me ON me.f = lk.f AND me.u = lk.w WHERE cc.label < me.label GROUP BY lk.f, lk.w)), "
+        "hm AS (SELECT f AS frame_id, u AS m, CAST(dense_rank() OVER (PARTITION BY f ORDER BY label) - 1 AS INTEGER) AS cluster_id FROM cc), "
+        f"sz AS (SELECT frame_id, cluster_id, count(*) FILTER (WHERE s = 1) >= {least} AS large FROM hm JOIN mb USING (frame_id, m) GROUP BY ALL), "
+        "j AS (SELECT hm.frame_id, hm.m, hm.cluster_id, large, x, y, z, s FROM hm JOIN sz ON hm.frame_id = sz.frame_id AND hm.cluster_id = sz.cluster_id JOIN mb ON hm.frame_id = mb.frame_id AND hm.m = mb.m), "
+        f"mv AS (SELECT a.frame_id, a.m, b.cluster_id AS t FROM j a JOIN j b ON a.frame_id = b.frame_id WHERE NOT a.large AND b.large AND b.s = 1 QUALIFY row_number() OVER (PARTITION BY a.frame_id, a.m ORDER BY {_D2}, b.m) = 1), "
+        "lb AS (SELECT j.frame_id, j.m, coalesce(mv.t, j.cluster_id) AS l FROM j LEFT JOIN mv ON j.frame_id = mv.frame_id AND j.m = mv.m), "
+        "sg AS (SELECT frame_id, m, CAST(dense_rank() OVER (PARTITION BY frame_id ORDER BY l) - 1 AS INTEGER) AS cluster_id FROM lb), "
+        "sv AS (SELECT frame_id, CAST(m - 1099511627776 AS INTEGER) AS vertex_id, cluster_id FROM sg WHERE m >= 1099511627776)"
+    )
+
+
+_SEG = f"{_C}, {_V}, {_UNION}, {_segments_sql(1.5, 0.2, 20)}"
+_KIND = "CASE WHEN m >= 1099511627776 THEN 'vertex' ELSE 'sample' END AS kind, CASE WHEN m >= 1099511627776 THEN m - 1099511627776 ELSE m END AS id"
+
+
+@query(f"WITH RECURSIVE {_SEG} SELECT frame_id, {_KIND}, cluster_id FROM hm")
 def segment_components(spark, d):
     """Height components of the sample points and vertices together."""
     return _by_kind(_members(spark, d)[1])
 
 
-@query()
+@query(f"WITH RECURSIVE {_SEG} SELECT frame_id, {_KIND}, cluster_id FROM sg")
 def segment_merge_small(spark, d):
     return _by_kind(_segments(spark, d))
 
@@ -490,18 +512,21 @@ def wireframe_merge(spark, d):
     return wireframe.merged_edges(wireframe.split_edges(edges(spark, d), labels), wireframe.merge_offsets(labels))
 
 
-@query()
+_SEG_SPLIT = f"{_SEG}, {_E}, " + _SPLIT[len(f"{_HC}, {_E}, ") :].replace("FROM hc", "FROM sv")
+
+
+@query(f"WITH RECURSIVE {_SEG_SPLIT} SELECT frame_id, cluster_id, CAST(src AS INTEGER) AS src, CAST(dst AS INTEGER) AS dst FROM se")
 def segment_edges(spark, d):
     """Edges within a segment of points and vertices."""
     return wireframe.split_edges(edges(spark, d), vertex_labels(_segments(spark, d)))
 
 
-@query()
+@query(f"WITH RECURSIVE {_SEG_SPLIT} SELECT * FROM off")
 def segment_merge_offsets(spark, d):
     return wireframe.merge_offsets(vertex_labels(_segments(spark, d)))
 
 
-@query()
+@query(f"WITH RECURSIVE {_SEG_SPLIT} SELECT se.frame_id, CAST(src + \"offset\" AS BIGINT) AS src, CAST(dst + \"offset\" AS BIGINT) AS dst FROM se JOIN off ON se.frame_id = off.frame_id AND se.cluster_id = off.cluster_id")
 def segment_wireframe_merge(spark, d):
     """As wireframe_merge, with the segments of points and vertices."""
     labels, _ = written(vertex_labels(_segments(spark, d)), "segments")

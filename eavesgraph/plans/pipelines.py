@@ -56,7 +56,15 @@ def training_rows(spark, d):
     return rounded(rows, *XYZ, "ox", "oy", "oz")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_C}, {_V}, n AS (SELECT frame_id, count(*) AS n FROM c GROUP BY 1), mr AS (SELECT frame_id, point_id AS m, x, y, z, 1 AS s FROM c UNION ALL SELECT frame_id, vertex_id + 1099511627776, x, y, z, 0 FROM v),
+mc AS (SELECT mr.* FROM mr JOIN n ON mr.frame_id = n.frame_id AND n > 300), bx AS (SELECT frame_id, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, greatest(max(x)-avg(x), avg(x)-min(x), max(y)-avg(y), avg(y)-min(y), max(z)-avg(z), avg(z)-min(z)) AS h FROM mc GROUP BY 1),
+mb AS (SELECT frame_id, m, (x-cx)/CASE WHEN h = 0 THEN 1 ELSE h END AS x, (y-cy)/CASE WHEN h = 0 THEN 1 ELSE h END AS y, (z-cz)/CASE WHEN h = 0 THEN 1 ELSE h END AS z, s FROM mc JOIN bx USING (frame_id)),
+{g._segments_sql(0.03, 0.01, 20)}, {_E}, pt AS (SELECT sg.frame_id, 'cluster_' || cluster_id AS part, m FROM sg),
+ct AS (SELECT frame_id, part, count(*) FILTER (WHERE m < 1099511627776) AS n_points, count(*) FILTER (WHERE m >= 1099511627776) AS n_vertices, 0 AS n_edges FROM pt GROUP BY ALL
+UNION ALL SELECT a.frame_id, 'cluster_' || a.cluster_id, 0, 0, count(*) FROM e JOIN sv a ON e.frame_id = a.frame_id AND e.src = a.vertex_id JOIN sv b ON e.frame_id = b.frame_id AND e.dst = b.vertex_id AND a.cluster_id = b.cluster_id GROUP BY ALL
+UNION ALL SELECT frame_id, 'original', n, 0, 0 FROM n WHERE n <= 300 UNION ALL SELECT v.frame_id, 'original', 0, count(*), 0 FROM v JOIN n ON v.frame_id = n.frame_id AND n <= 300 GROUP BY ALL
+UNION ALL SELECT e.frame_id, 'original', 0, 0, count(*) FROM e JOIN n ON e.frame_id = n.frame_id AND n <= 300 GROUP BY ALL)
+SELECT frame_id, part, CAST(sum(n_points) AS BIGINT) AS n_points, CAST(sum(n_vertices) AS BIGINT) AS n_vertices, CAST(sum(n_edges) AS BIGINT) AS n_edges FROM ct GROUP BY ALL""")
 def split_parts(spark, d):
     """Points, vertices and edges of the parts that frames of more than 300 points are split into."""
     p, v, e = pipelines.split_frames(points(spark, d), corners(spark, d), edges(spark, d), threshold=300)

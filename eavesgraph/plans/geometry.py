@@ -89,9 +89,10 @@ def frame_normalize(spark, d):
     return rounded(normalise.normalise(p, normalise.frame_stats(p)), *XYZ)
 
 
-@query(f"WITH {_C}, {_M} SELECT frame_id, cube_min, cube_max, n_points, {_r('cx', 'cy', 'cz', 'max_distance')} FROM st")
+@query(f"WITH {_C}, {_M} SELECT frame_id, cube_min, cube_max, n_points, " + ", ".join(f"round({c}, 9) + 0.0 AS {c}" for c in ("cx", "cy", "cz", "max_distance")) + " FROM st")
 def frame_cube_bounds(spark, d):
-    return rounded(normalise.frame_stats(points(spark, d)), "cx", "cy", "cz", "max_distance")
+    """Bounds to nine digits: means of coordinates in millimetres lie half-way between numbers of six."""
+    return normalise.frame_stats(points(spark, d)).withColumns({c: F.round(c, 9) + F.lit(0.0) for c in ("cx", "cy", "cz", "max_distance")})
 
 
 @query(f"WITH {_C}, {_M} SELECT frame_id, point_id, {_r3(*[f'({c}-cube_min)/nullif(cube_max-cube_min,0)' for c in 'xyz'])} FROM c JOIN st USING (frame_id)")

@@ -712,10 +712,11 @@ def height_deviation(spark, d):
     return rounded(features.height_deviation(_pairs(spark, d)[0]), "height_dev")
 
 
-@query(f"WITH {_KL} SELECT frame_id, query_id, " + ", ".join(f"round(covar_pop(t{n[0]} - q{n[0]}, t{n[1]} - q{n[1]}), 12) + 0.0 AS {n}" for n in ("xx", "xy", "xz", "yy", "yz", "zz")) + ", count(*) AS n FROM pr GROUP BY ALL")
+@query(f"WITH {_KL} SELECT frame_id, query_id, " + ", ".join(f"round(covar_pop(t{n[0]} - q{n[0]}, t{n[1]} - q{n[1]}) * count(*) * count(*), 6) / (count(*) * count(*)) + 0.0 AS {n}" for n in ("xx", "xy", "xz", "yy", "yz", "zz")) + ", count(*) AS n FROM pr GROUP BY ALL")
 def neighborhood_covariance_32(spark, d):
-    """As neighborhood_covariance, with the neighbours of the MRGD."""
-    return features.covariances(_pairs(spark, d, MRGD_K)[0]).withColumns({c: F.round(c, 12) + F.lit(0.0) for c in ("xx", "xy", "xz", "yy", "yz", "zz")})
+    """As neighborhood_covariance, with the neighbours of the MRGD; times n^2 they are whole in millionths for coordinates in millimetres, and rounded as that."""
+    n = F.col("n")
+    return features.covariances(_pairs(spark, d, MRGD_K)[0]).withColumns({c: F.round(F.col(c) * n * n, 6) / (n * n) + F.lit(0.0) for c in ("xx", "xy", "xz", "yy", "yz", "zz")})
 
 
 @query(f"WITH {_KL} SELECT frame_id, query_id AS point_id, round(sqrt(avg((tz-qz)*(tz-qz))), 6) + 0.0 AS height_dev FROM pr GROUP BY ALL")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eavesgraph.llm import subtitles
-from eavesgraph.session import broadcast_if_small, drop_path, written
+from eavesgraph.session import BROADCAST_ROWS, drop_path, written
 
 K, WINDOW = 3, 2
 #: A stretch has at least this many words of the item ...
@@ -138,14 +138,13 @@ def item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(arrays, ["item_id", "words", "grams", "p", "h", "before", "after"])
 
 
-def gram_filter(items: DataFrame) -> tuple[np.ndarray, int]:
-    """(64-bit words, bits): which slots of the hash range hold a gram of an item.
+def gram_filter(items: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """(64-bit words, bits): which slots of the hash range hold one of the ``n`` grams of the items.
 
     The slots are set by the executors; the driver gets at most 2^MOST_BITS / 64
     words. With more items the filter lets more through, and misses nothing.
     """
     grams = items.select(F.explode("grams").alias("g"))
-    n = items.agg(F.sum(F.size("grams"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(n, 1))) + 5))
     slot = F.shiftrightunsigned("g", 64 - bits)
     packed = grams.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(g, {64 - bits}) & 63 as int))")).alias("b"))
@@ -332,12 +331,12 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     source = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
     wanted, scratch = written(source.mapInArrow(item_rows, ITEM).withColumn("sig", F.xxhash64("words")), "items")
-    longest = wanted.agg(F.max(F.size("words"))).first()[0]
+    longest, n_items, n_grams, n_prints = wanted.agg(F.max(F.size("words")), F.count("*"), F.sum(F.size("grams")), F.sum(F.size("h"))).first()
     if not longest:
         drop_path(spark, scratch)
         return spark.createDataFrame([], "doc_id long, item_id long, n_words int, n_errors int")
     reach = longest + longest // PER_ERROR + 1
-    shared = spark.sparkContext.broadcast(gram_filter(wanted))
+    shared = spark.sparkContext.broadcast(gram_filter(wanted, n_grams))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_, bits = shared.value
@@ -354,10 +353,11 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     place = ["doc_id", "start", "sig"]
     of_items = prints(wanted, "item_id", "sig").withColumnsRenamed({"sig": "item_sig", "p": "q", "before": "i_before", "after": "i_after"})
     around = ((F.col("before") >= 0) & (F.col("before") == F.col("i_before"))) | ((F.col("after") >= 0) & (F.col("after") == F.col("i_after")))
-    hits = prints(regions, *place).join(broadcast_if_small(of_items), "h").where(around)
+    hits = prints(regions, *place).join(F.broadcast(of_items) if n_prints <= BROADCAST_ROWS else of_items, "h").where(around)
     cells = hits.groupBy(*place, "item_id", "item_sig").agg(F.collect_set(F.struct("p", "q")).alias("at"))
     both = cells.join(regions.select(*place, F.col("words").alias("doc")).dropDuplicates(place), place)
-    both = both.join(broadcast_if_small(wanted.select("item_id", F.col("sig").alias("item_sig"), F.col("words").alias("item")), 20_000), ["item_id", "item_sig"])
+    texts_of = wanted.select("item_id", F.col("sig").alias("item_sig"), F.col("words").alias("item"))
+    both = both.join(F.broadcast(texts_of) if n_items * longest <= 20 * BROADCAST_ROWS else texts_of, ["item_id", "item_sig"])
     found = both.select("doc_id", "item_id", "doc", "item", "at.p", "at.q").mapInArrow(_extend, "doc_id long, item_id long, n_words int, n_errors int")
     out = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_words", (-F.col("n_errors")).alias("e"))).alias("b"))
     return out.select("doc_id", "item_id", "b.n_words", (-F.col("b.e")).alias("n_errors"))

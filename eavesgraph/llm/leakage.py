@@ -280,6 +280,10 @@ def longest_stretch(doc: np.ndarray, item: np.ndarray, p: np.ndarray, q: np.ndar
     errors. Of equally long ones that with the fewest errors counts. Both sides
     of a cell are independent, so the result is exact for any lengths.
     """
+    known = np.concatenate(([0], np.cumsum(np.isin(gram_hashes(doc), gram_hashes(item)))))
+    width = min(SPAN, len(known) - 1)
+    if not width or (known[width:] - known[:-width]).max() < DENSE:
+        return 0, 0
     most = len(item) // PER_ERROR
     # one cell for each run of matching words on a diagonal is enough
     order = np.lexsort((q, p - q))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eavesgraph.operators.skew import heavy_keys, join_by_weight
-from eavesgraph.session import written
+from eavesgraph.session import small, written
 
 
 def frame_key(c: Column | str) -> Column:
@@ -37,6 +37,14 @@ def _verdicts(refs: DataFrame, targets: DataFrame, keys: list[str]) -> tuple[Dat
     return join_by_weight(pre, states, keys, heavy), heavy, states
 
 
+def _rows_of(refs: DataFrame, flagged: DataFrame, keys: list[str], heavy: list[tuple]) -> DataFrame:
+    """The references to flagged keys; these are written and counted, and broadcast if few, else joined by weight."""
+    flagged, _ = written(flagged, "flagged")
+    if small(flagged):
+        return refs.join(F.broadcast(flagged), keys)
+    return join_by_weight(refs, flagged, keys, heavy, "inner")
+
+
 def find_orphans(refs: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     """One row per reference that does not resolve.
 
@@ -44,7 +52,8 @@ def find_orphans(refs: DataFrame, targets: DataFrame, keys: list[str]) -> DataFr
     ``keys``, loaded_at, deleted_at. References are pre-aggregated per key and
     month; only keys with an unresolved or possibly late reference go on to the
     rows. Heavy keys meet a broadcast side of at most 1024 rows, the others
-    are shuffled. A null in a key is no reference. Repeated reference rows stay
+    are shuffled; flagged keys meet the rows as a broadcast side if a count
+    shows that they are few. A null in a key is no reference. Repeated reference rows stay
     as they are; repeated target rows count once. Empty tables: with no
     references nothing comes out, with no targets every reference is missing.
     """
@@ -52,7 +61,7 @@ def find_orphans(refs: DataFrame, targets: DataFrame, keys: list[str]) -> DataFr
     joined, heavy, _ = _verdicts(refs, targets, keys)
     suspect = joined.where(F.col("any_live").isNull() | ~F.col("any_live") | (F.col("first_live") > F.col("first_ref")))
     flagged = suspect.groupBy(*keys).agg(F.first("any_live").alias("any_live"), F.first("first_live").alias("first_live"))
-    rows = join_by_weight(refs, flagged, keys, heavy, "inner")
+    rows = _rows_of(refs, flagged, keys, heavy)
     return rows.withColumn("state", state_of()).where("state is not null").select("ref_table", "row_id", "ref_col", "state", "loaded_at")
 
 
@@ -69,7 +78,7 @@ def count_orphans(refs: DataFrame, targets: DataFrame, keys: list[str]) -> DataF
     split = (F.col("first_live") > F.col("first_ref")) & (F.col("first_live") <= F.col("last_ref"))
     sure = joined.withColumn("state", whole).where("state is not null").select("ref_table", "ref_col", "month", "state", "n")
     partly = joined.where(split).groupBy(*keys).agg(F.first("first_live").alias("first_live"), F.collect_set(F.struct("ref_table", "ref_col")).alias("columns"))
-    rows = join_by_weight(refs, partly, keys, heavy, "inner").withColumn("month", F.date_trunc("month", "loaded_at"))
+    rows = _rows_of(refs, partly, keys, heavy).withColumn("month", F.date_trunc("month", "loaded_at"))
     late = rows.where(F.array_contains("columns", F.struct("ref_table", "ref_col")) & (F.col("first_live") > F.col("loaded_at")) & (F.date_trunc("month", "first_live") == F.col("month"))).select("ref_table", "ref_col", "month", F.lit("late").alias("state"), F.lit(1).cast("long").alias("n"))
     return sure.unionByName(late).groupBy("ref_table", "ref_col", "month", "state").agg(F.sum("n").alias("n_refs"))
 

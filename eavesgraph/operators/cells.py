@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eavesgraph.session import written
+from eavesgraph.session import multiplied, written
 
 XYZ = ("x", "y", "z")
 #: Cells along an edge of a block; blocks are the join key of adjacent cells.
@@ -76,7 +76,7 @@ def cell_links(placed: DataFrame, cells: DataFrame, eps: float, side: float, dir
         a = a.select("*", F.explode(F.sequence(block(F.floor((F.col(f"lo{c}") - eps) / side)), block(F.floor((F.col(f"hi{c}") + eps) / side)))).alias(f"b{c}"))
     a = a.select("frame_id", "bx", "by", "bz", "u", *_side(a, "a"))
     b = cells.select("frame_id", *[block(F.col(f"g{c}")).alias(f"b{c}") for c in XYZ], F.col("u").alias("v"), *_side(cells, "b"))
-    near = a.join(b, ["frame_id", "bx", "by", "bz"]).where((F.col("u") < F.col("v")) & (_gap() <= eps * eps)).withColumn("sure", _span() <= eps * eps)
+    near = multiplied(a).join(b, ["frame_id", "bx", "by", "bz"]).where((F.col("u") < F.col("v")) & (_gap() <= eps * eps)).withColumn("sure", _span() <= eps * eps)
     near, _ = written(near.drop("bx", "by", "bz"), "near-cells")
     small = F.col("an") * F.col("bn") <= direct
     found = [near.where("sure").select("frame_id", "u", "v"), _compared(near.where(~F.col("sure") & small), placed, eps)]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eavesgraph.operators.order import row_numbers
+from eavesgraph.session import multiplied
 
 XYZ = ["x", "y", "z"]
 
@@ -29,7 +30,7 @@ def resample(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
     slots = count.select("frame_id", "total", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
     draw = F.pmod(portable_hash("frame_id", F.col("slot").cast("string"), seed=seed), F.col("total"))
     pick = F.when((F.col("total") <= n) & (F.col("slot") < F.col("total")), F.col("slot").cast("long")).otherwise(draw)
-    return slots.withColumn("pos", pick).join(numbered, ["frame_id", "pos"]).select("frame_id", "slot", "point_id")
+    return multiplied(slots.withColumn("pos", pick)).join(numbered, ["frame_id", "pos"]).select("frame_id", "slot", "point_id")
 
 
 def weighted_sample(points: DataFrame, score: str, n: int, beta: float = 5.0, seed: int = 0) -> DataFrame:

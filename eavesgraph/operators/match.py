@@ -12,7 +12,22 @@ from eavesgraph.operators.wireframe import edge_membership
 XYZ = ("x", "y", "z")
 
 
-def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Distances:
+    """The matrix of distances of two sets of places as assign() reads it: a row at a time, made when it is asked for."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, guard: float = 0.0):
+        self.a, self.b, self.guard, self.shape = a, b, guard, (len(a), len(b))
+
+    @property
+    def T(self) -> Distances:
+        return Distances(self.b, self.a, self.guard)
+
+    def __getitem__(self, at) -> np.ndarray:
+        r, c = at if isinstance(at, tuple) else (at, slice(None))
+        return np.sqrt(((self.a[r] - self.b[c]) ** 2).sum(-1) + self.guard)
+
+
+def assign(cost: np.ndarray | Distances) -> tuple[np.ndarray, np.ndarray]:
     """(rows, columns) of a cheapest assignment of a rectangular cost matrix.
 
     Shortest augmenting paths with dual prices; the inner step runs on whole
@@ -56,7 +71,7 @@ def match_corners(predicted: DataFrame, truth: DataFrame, guard: float = 0.0) ->
     """(frame_id, corner_id, vertex_id, dist): the cheapest assignment in each frame; the smaller side is matched whole.
 
     guard is added under the root of the squared distance. One task holds the
-    corners of one frame, not its points.
+    corners of one frame, not its points, and of the distances one row at a time.
     """
     p = predicted.select("frame_id", F.col("corner_id").alias("p_id"), *[F.col(c).alias(f"p{c}") for c in XYZ])
     t = truth.select(F.col("frame_id").alias("t_frame"), F.col("vertex_id").alias("t_id"), *[F.col(c).alias(f"t{c}") for c in XYZ])
@@ -65,7 +80,7 @@ def match_corners(predicted: DataFrame, truth: DataFrame, guard: float = 0.0) ->
         if not len(a) or not len(b):
             return pd.DataFrame({"frame_id": np.zeros(0, object), "corner_id": np.zeros(0, np.int32), "vertex_id": np.zeros(0, np.int32), "dist": np.zeros(0)})
         a, b = a.sort_values("p_id", kind="stable"), b.sort_values("t_id", kind="stable")
-        d = np.sqrt(((a[["px", "py", "pz"]].to_numpy()[:, None] - b[["tx", "ty", "tz"]].to_numpy()[None]) ** 2).sum(-1) + guard)
+        d = Distances(a[["px", "py", "pz"]].to_numpy(), b[["tx", "ty", "tz"]].to_numpy(), guard)
         r, c = assign(d)
         return pd.DataFrame({"frame_id": np.full(len(r), a["frame_id"].iloc[0], object), "corner_id": a["p_id"].to_numpy()[r], "vertex_id": b["t_id"].to_numpy()[c], "dist": d[r, c]})
 

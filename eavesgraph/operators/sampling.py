@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -86,6 +88,20 @@ def adaptive_sample(points: DataFrame, score: str, target: int, first: int = 409
     return drawn.groupBy("frame_id").applyInPandas(run, "frame_id string, point_id long")
 
 
+def adaptive_rows(frame: str, ids: np.ndarray, x: np.ndarray, score: np.ndarray, target: int, first: int = 4096, share: float = 0.8, beta: float = 5.0, seed: int = 0) -> np.ndarray:
+    """adaptive_sample() of one frame: row numbers; a NaN score is a null. Rows come in order of ids."""
+    rows = np.arange(len(ids))
+    if len(ids) > first:
+        u = np.array([(int(hashlib.md5(f"{frame}|{i}|{seed}".encode()).hexdigest()[:8], 16) + 1) / 4294967297.0 for i in ids.tolist()])
+        key = np.round(np.log(u) / np.exp(score * beta), 12)
+        rows = np.sort(np.lexsort((ids, -key))[:first])
+    if target >= len(rows):
+        return rows
+    rows = rows[np.lexsort((ids[rows], -score[rows]))]
+    keep = max(1, min(len(rows), int(target * share)))
+    return rows[farthest(x[rows], target, list(range(keep)))]
+
+
 def top_variance(features: DataFrame, column: str, width: int, n: int) -> DataFrame:
     """(frame_id, column_no, variance, rank): the n columns of an array with the largest variance in each frame."""
     v = features.select("frame_id", F.posexplode(column).alias("column_no", "v")).where(F.col("column_no") < width)
